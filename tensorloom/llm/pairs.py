@@ -147,7 +147,7 @@ def is_other_language(question: str | None, answer: str) -> bool:
         return False
     found = language_scores(said)
     got, evidence = max(found.items(), key=lambda x: x[1], default=(want, 0))
-    return got != want and evidence >= 2 and found[want] <= 0.7 * evidence
+    return got != want and evidence >= 2 and found[want] <= (0.7 if evidence >= 4 else 0.5) * evidence
 
 
 def open_structure(text: str) -> bool:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.llm.packing import fill_report, pack
 from tensorloom.llm.pairs import find_defects, main_defect
+from tensorloom.operators.orphans import image_of
+from tensorloom.runtime import materialize, skewless_join
 from tensorloom.sources.tables import table
 
 MANIFESTS = ("train_manifest", "val_manifest")
@@ -28,5 +31,40 @@ def p2_defects(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(pairs.select("row_id", "table_name", "subset"), "row_id").groupBy("table_name", "subset", "defect").agg(F.count("*").alias("n_rows"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_defects": p2_defects}
-ORACLE: dict[str, str] = {}
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Train rows in sequences of 4096. Rows without image have no visual tokens; an image without tensor record leaves its row out of all sequences."""
+    rows = table(spark, sf, "train_manifest").select(
+        "row_id", F.col("emb").isNull().alias("text_only"), image_of("emb").alias("image"),
+        (F.coalesce(F.length("user"), F.lit(0)) + F.coalesce(F.length("assistant"), F.lit(0)) + 2).alias("text_length"),
+    )
+    images = table(spark, sf, "emb_shards").groupBy(image_of("key").alias("image")).agg(F.max("n_vis").alias("n_vis")).where(F.col("image").isNotNull())
+    known = skewless_join(rows, images, "image", "left")
+    length = F.when(F.col("text_only"), F.col("text_length")).otherwise(F.col("n_vis") + F.col("text_length")).cast("long")
+    return pack(materialize(known.select("row_id", length.alias("length"), "text_only"), "lengths"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Train rows with a tensor record that are longer than a sequence, the only ones the packing splits."""
+    return _packed(spark, sf).where("piece = 0 and n_pieces > 1 and not text_only").select("row_id")
+
+
+def p3_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every train row, or piece of one, with its sequence."""
+    return _packed(spark, sf).select("row_id", "piece", "n_pieces", "piece_length", F.col("container").alias("sequence_id"))
+
+
+def p3_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequences, their filling and the unused share."""
+    return fill_report(_packed(spark, sf))
+
+
+QUERIES = {"p2_found": p2_found, "p2_defects": p2_defects, "p3_found": p3_found, "p3_packed": p3_packed, "p3_report": p3_report}
+
+_IMG = "regexp_extract(lower({}), '(?:^|[^0-9a-f])([0-9a-f]{{20}})(?:[^0-9a-f]|$)', 1)"
+
+ORACLE = {
+    "p3_found": f"""
+WITH images AS (SELECT {_IMG.format('"key"')} AS image, max(n_vis) AS n_vis FROM emb_shards GROUP BY 1)
+SELECT t.row_id FROM train_manifest t JOIN images i ON i.image = {_IMG.format("t.emb")}
+WHERE i.image <> '' AND i.n_vis + coalesce(length(t."user"), 0) + coalesce(length(t.assistant), 0) + 2 > 4096""",
+}
