@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.llm.leakage import find_leaks, remove_leaks
 from tensorloom.llm.overlap import near_pairs
 from tensorloom.llm.packing import fill_report, pack
 from tensorloom.llm.pairs import find_defects, main_defect
@@ -76,7 +77,30 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("eval_split", "subset").agg(F.count("*").alias("n_rows"), F.count("n").alias("n_leaked"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_defects": p2_defects, "p3_found": p3_found, "p3_packed": p3_packed, "p3_report": p3_report, "p4_found": p4_found, "p4_report": p4_report}
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Items and the documents that hold a passage of them."""
+    return _leaks(spark, sf).select("item_id", "doc_id")
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaked items and documents concerned, by suite and source."""
+    leaks = materialize(_leaks(spark, sf), "leaks")
+    suites = table(spark, sf, "eval_items").select("item_id", "suite")
+    sources = table(spark, sf, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"))
+    return leaks.join(suites, "item_id").join(sources, "doc_id").groupBy("suite", "source").agg(F.countDistinct("item_id").alias("n_items"), F.countDistinct("doc_id").alias("n_documents"))
+
+
+def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of every document when the leaked passages were removed."""
+    leaks = materialize(_leaks(spark, sf), "leaks")
+    return remove_leaks(table(spark, sf, "documents"), leaks).select("doc_id", "action", F.length("text").alias("n_chars"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_defects": p2_defects, "p3_found": p3_found, "p3_packed": p3_packed, "p3_report": p3_report, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report, "p6_clean": p6_clean}
 
 _IMG = "regexp_extract(lower({}), '(?:^|[^0-9a-f])([0-9a-f]{{20}})(?:[^0-9a-f]|$)', 1)"
 
