@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.llm.language import document_languages, document_segments, fit_profiles, label_faults
 from tensorloom.llm.leakage import find_leaks, remove_leaks
 from tensorloom.llm.overlap import near_pairs
 from tensorloom.llm.packing import fill_report, pack
@@ -100,7 +101,26 @@ def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
     return remove_leaks(table(spark, sf, "documents"), leaks).select("doc_id", "action", F.length("text").alias("n_chars"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_defects": p2_defects, "p3_found": p3_found, "p3_packed": p3_packed, "p3_report": p3_report, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report, "p6_clean": p6_clean}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages of the documents whose label is missing, wrong or names only one of several languages."""
+    documents = table(spark, sf, "documents")
+    return label_faults(document_languages(documents, fit_profiles(documents))).select("doc_id", F.col("language").alias("lang"))
+
+
+def p8_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's languages with confidence and share of its letters."""
+    documents = table(spark, sf, "documents")
+    found = document_languages(documents, fit_profiles(documents))
+    return found.select("doc_id", "label", "language", F.round("confidence", 6).alias("confidence"), F.round("share", 6).alias("share"))
+
+
+def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Language segments of every document."""
+    documents = table(spark, sf, "documents")
+    return document_segments(documents, fit_profiles(documents))
+
+
+QUERIES = {"p2_found": p2_found, "p2_defects": p2_defects, "p3_found": p3_found, "p3_packed": p3_packed, "p3_report": p3_report, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report, "p6_clean": p6_clean, "p8_found": p8_found, "p8_languages": p8_languages, "p8_segments": p8_segments}
 
 _IMG = "regexp_extract(lower({}), '(?:^|[^0-9a-f])([0-9a-f]{{20}})(?:[^0-9a-f]|$)', 1)"
 
