@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.language import document_languages, document_segments, fit_profiles, label_faults
 from tensorloom.llm.leakage import find_leaks, remove_leaks
+from tensorloom.llm.mixing import mix
 from tensorloom.llm.overlap import near_pairs
 from tensorloom.llm.packing import fill_report, pack
 from tensorloom.llm.pairs import find_defects, main_defect
@@ -101,6 +102,16 @@ def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
     return remove_leaks(table(spark, sf, "documents"), leaks).select("doc_id", "action", F.length("text").alias("n_chars"))
 
 
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of the mix and how often each is used."""
+    return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0].select("doc_id", "source", "tokens", "repeats")
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and reached shares of every source of the mix."""
+    return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Languages of the documents whose label is missing, wrong or names only one of several languages."""
     documents = table(spark, sf, "documents")
@@ -120,7 +131,7 @@ def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
     return document_segments(documents, fit_profiles(documents))
 
 
-QUERIES = {"p2_found": p2_found, "p2_defects": p2_defects, "p3_found": p3_found, "p3_packed": p3_packed, "p3_report": p3_report, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report, "p6_clean": p6_clean, "p8_found": p8_found, "p8_languages": p8_languages, "p8_segments": p8_segments}
+QUERIES = {"p2_found": p2_found, "p2_defects": p2_defects, "p3_found": p3_found, "p3_packed": p3_packed, "p3_report": p3_report, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report, "p6_clean": p6_clean, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_languages": p8_languages, "p8_segments": p8_segments}
 
 _IMG = "regexp_extract(lower({}), '(?:^|[^0-9a-f])([0-9a-f]{{20}})(?:[^0-9a-f]|$)', 1)"
 
