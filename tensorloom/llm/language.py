@@ -217,7 +217,7 @@ def segments(text: str | None, profiles: Profiles) -> list[tuple[int, str, float
     return [(n, profiles.languages[k], round(total / size, 4), size) for n, (k, total, size) in enumerate(out)]
 
 
-SEGMENTS = "doc_id bigint, segment int, language string, confidence double, letters int"
+SEGMENTS = "doc_id string, segment int, language string, confidence double, letters int"
 
 
 def document_segments(documents: DataFrame, profiles: Profiles) -> DataFrame:
@@ -234,7 +234,8 @@ def document_segments(documents: DataFrame, profiles: Profiles) -> DataFrame:
             rows = [(d, *s) for d, text in zip(batch["doc_id"], batch["text"], strict=True) for s in segments(text, p)]
             yield pd.DataFrame(rows, columns=["doc_id", "segment", "language", "confidence", "letters"])
 
-    return spread(documents.select("doc_id", "text").where(F.col("text").isNotNull())).mapInPandas(judge, SEGMENTS)
+    texts = spread(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").where(F.col("text").isNotNull()))
+    return texts.mapInPandas(judge, SEGMENTS).withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
 
 
 def document_languages(documents: DataFrame, profiles: Profiles) -> DataFrame:
@@ -260,8 +261,9 @@ def document_languages(documents: DataFrame, profiles: Profiles) -> DataFrame:
                 rows += [(doc, label, len(letters), lang, trust[lang] / n, n / total) for lang, n in letters.items()]
             yield pd.DataFrame(rows, columns=["doc_id", "label", "languages", "language", "confidence", "share"])
 
-    labelled = documents.select("doc_id", label_code(F.col("lang")).alias("label"), "text").where(F.col("text").isNotNull())
-    return spread(labelled).mapInPandas(judge, "doc_id bigint, label string, languages int, language string, confidence double, share double")
+    labelled = documents.select(F.col("doc_id").cast("string").alias("doc_id"), label_code(F.col("lang")).alias("label"), "text").where(F.col("text").isNotNull())
+    found = spread(labelled).mapInPandas(judge, "doc_id string, label string, languages int, language string, confidence double, share double")
+    return found.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
 
 
 def label_faults(languages: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,7 +75,7 @@ def _sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def item_sentences(items: DataFrame, shared_by: int) -> DataFrame:
     """Sentences of the items as plain words, without those that ``shared_by`` items or more have in common."""
-    parts = items.select("item_id", "text").mapInPandas(_sentences, "item_id bigint, n int, sentence string")
+    parts = items.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInPandas(_sentences, "item_id string, n int, sentence string")
     shared = parts.groupBy("sentence").agg(F.countDistinct("item_id").alias("items")).where(F.col("items") >= shared_by).select("sentence")
     return parts.join(shared, "sentence", "left_anti").select("item_id", "n", "sentence")
 
@@ -142,17 +142,17 @@ def passage(path: list[tuple[str, int, int]], least: int, marks: list[bool]) ->
 class Index:
     """n-grams of the sentences of a block of items."""
 
-    def __init__(self, sentences: list[tuple[int, int, str]]):
-        self.items: dict[int, list[str]] = {}
-        self.grams: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        last: dict[int, int] = {}
+    def __init__(self, sentences: list[tuple[str, int, str]]):
+        self.items: dict[str, list[str]] = {}
+        self.grams: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        last: dict[str, int] = {}
         for item, n, sentence in sorted(sentences):
             words = self.items.setdefault(item, [])
             if item in last and n != last[item] + 1:
                 words.append("\x01")  # a sentence between was left out: nothing runs across
             words += sentence.split(" ")
             last[item] = n
-        spread_over: dict[str, set[int]] = defaultdict(set)
+        spread_over: dict[str, set[str]] = defaultdict(set)
         for item, words in self.items.items():
             for w in words:
                 spread_over[w].add(item)
@@ -165,9 +165,9 @@ class Index:
                 if "\x01" not in gram:
                     self.grams[" ".join(gram)].append((item, k))
 
-    def scan(self, doc: list[str], least: int) -> list[tuple[int, int, int, int]]:
+    def scan(self, doc: list[str], least: int) -> list[tuple[str, int, int, int]]:
         """(item, words, first, last position) of every item with a passage in the document."""
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        hits: dict[str, list[tuple[int, int]]] = defaultdict(list)
         grams = self.grams
         for j in range(len(doc) - GRAM + 1):
             found = grams.get(" ".join(doc[j : j + GRAM]))
@@ -194,11 +194,14 @@ class Index:
                     out.append((item, longest, *stretch))
                     continue
             best = None
-            for first, last in _clusters(sorted({j for j, _ in places}), len(words)):
-                low, high = max(0, first - 20), min(len(doc), last + GRAM + 20)
-                found = passage(align(words, doc[low:high]), least, self.marks[item])
-                if found and (best is None or found[0] > best[1]):
-                    best = (item, found[0], low + found[1], low + found[2])
+            for window in _windows(sorted(places)):
+                found = self._verify(item, doc, window, least)
+                if found and best and found[0] <= best[2] + 30:
+                    best = (best[0] + found[2], best[1], max(best[2], found[1]))
+                elif found and (best is None or found[2] > best[0]):
+                    best = (found[2], found[0], found[1])
+            if best:
+                best = (item, best[0], best[1], best[2])
             if best is None and longest >= least:
                 best = (item, longest, *stretch)
             if best:
@@ -206,18 +209,31 @@ class Index:
         return out
 
 
-def _clusters(places: list[int], width: int) -> list[tuple[int, int]]:
-    """Stretches of hit positions that lie less than ``width`` apart."""
-    out = [[places[0], places[0]]]
+    def _verify(self, item: str, doc: list[str], window: list[tuple[int, int]], least: int) -> tuple[int, int, int] | None:
+        """First and last position and words of a passage around the hits of one window, along their most frequent diagonals."""
+        words, marks = self.items[item], self.marks[item]
+        low, high = max(0, window[0][0] - 20), min(len(doc), window[-1][0] + GRAM + 20)
+        best = None
+        for shift, _ in Counter((j - k) // 8 for j, k in window).most_common(2):
+            a, b = max(0, low - 8 * shift - 40), min(len(words), high - 8 * shift + 40)
+            found = passage(align(words[a:b], doc[low:high]), least, marks[a:b]) if b > a else None
+            if found and (best is None or found[0] > best[2]):
+                best = (low + found[1], low + found[2], found[0])
+        return best
+
+
+def _windows(places: list[tuple[int, int]], width: int = 150) -> list[list[tuple[int, int]]]:
+    """Hits in stretches without gaps of 40 words, cut at ``width`` words."""
+    out = [[places[0]]]
     for p in places[1:]:
-        if p - out[-1][1] > max(30, width // 2):
-            out.append([p, p])
+        if p[0] - out[-1][-1][0] > 40 or p[0] - out[-1][0][0] > width:
+            out.append([p])
         else:
-            out[-1][1] = p
-    return [(a, b) for a, b in out]
+            out[-1].append(p)
+    return out
 
 
-FOUND = "doc_id bigint, item_id bigint, n_words int, first_char int, last_char int"
+FOUND = "doc_id string, item_id string, n_words int, first_char int, last_char int"
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, least: int = 14, shared_by: int = 5) -> DataFrame:
@@ -229,7 +245,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = 14, shared_b
     sentences = materialize(item_sentences(items, shared_by), "sentences")
     total = sentences.agg(F.coalesce(F.sum(F.size(F.split("sentence", " "))), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_WORDS))
-    texts = spread(documents.select("doc_id", "text").where(F.col("text").isNotNull()))
+    texts = spread(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").where(F.col("text").isNotNull()))
     parts = []
     for block in range(blocks):
         chosen = sentences.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
@@ -246,7 +262,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = 14, shared_b
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words", "first_char", "last_char"])
 
         parts.append(texts.mapInPandas(scan, FOUND))
-    return union_all(parts)
+    doc, item = documents.schema["doc_id"].dataType, items.schema["item_id"].dataType
+    return union_all(parts).withColumns({"doc_id": F.col("doc_id").cast(doc), "item_id": F.col("item_id").cast(item)})
 
 
 def remove_leaks(documents: DataFrame, leaks: DataFrame, drop_share: float = 0.5) -> DataFrame:
@@ -278,4 +295,5 @@ def remove_leaks(documents: DataFrame, leaks: DataFrame, drop_share: float = 0.5
                 actions.append("dropped" if dropped else "cut")
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts, "action": actions})
 
-    return documents.select("doc_id", "text").join(spans, "doc_id", "left").mapInPandas(cut, "doc_id bigint, text string, action string")
+    joined = documents.select("doc_id", "text").join(spans, "doc_id", "left").withColumn("doc_id", F.col("doc_id").cast("string"))
+    return joined.mapInPandas(cut, "doc_id string, text string, action string").withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))

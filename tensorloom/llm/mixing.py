@@ -141,7 +141,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
     classes = [r["source"] for r in wanted]
     share = np.array([r["share"] for r in wanted], dtype=float)
     most = np.array([r["most"] for r in wanted], dtype=float)
-    base = documents.select("doc_id", "text", clean_source().alias("source"))
+    base = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", clean_source().alias("source"))
     model = spark.sparkContext.broadcast(fit_classifier(base, classes))  # targets x FEATURES
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,7 +151,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": count_tokens(batch["text"], tokenizers), "posterior": p})
 
     known = F.col("source").isNull() | F.col("source").isin(classes) if classes else F.lit(False)
-    read_docs = materialize(spread(base.where(known)).mapInPandas(read, "doc_id bigint, source string, tokens bigint, posterior array<double>").where("tokens > 0"), "tokens")
+    read_docs = materialize(spread(base.where(known)).mapInPandas(read, "doc_id string, source string, tokens bigint, posterior array<double>").where("tokens > 0"), "tokens")
 
     # labelled documents of a source move together: one row each
     hard = np.zeros(len(classes))
@@ -217,7 +217,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
             own = p.argmax(axis=1) if len(batch) else []
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": [names[k] for k in own], "labelled": labelled, "tokens": batch["tokens"], "rate": r})
 
-    rated = read_docs.mapInPandas(assign, "doc_id bigint, source string, labelled boolean, tokens bigint, rate double")
+    rated = read_docs.mapInPandas(assign, "doc_id string, source string, labelled boolean, tokens bigint, rate double")
     buckets = F.lit(max(1, counts.get(None, 0) // 5000))
     for c in classes:
         buckets = F.when((F.col("source") == c) & F.col("labelled"), F.lit(max(1, counts.get(c, 0) // 5000))).otherwise(buckets)
@@ -237,7 +237,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
         group["repeats"] = np.array(repeats, dtype=np.int64)
         return group[["doc_id", "source", "labelled", "tokens", "rate", "repeats"]]
 
-    chosen = materialize(rated.groupBy("source", "labelled", "bucket").applyInPandas(diffuse, "doc_id bigint, source string, labelled boolean, tokens bigint, rate double, repeats bigint"), "mix")
+    chosen = materialize(rated.groupBy("source", "labelled", "bucket").applyInPandas(diffuse, "doc_id string, source string, labelled boolean, tokens bigint, rate double, repeats bigint"), "mix")
     used = chosen.groupBy("source").agg(
         F.count("*").alias("n_documents"), F.sum("tokens").alias("tokens_available"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens_mixed"),
         F.max("repeats").alias("repeats_most"),
@@ -250,7 +250,8 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
         "source", "target_share", "max_repeats", zero("n_documents"), zero("tokens_available"), "fitted_share", zero("tokens_mixed"),
         F.coalesce(F.col("tokens_mixed") / F.nullif(F.col("_all"), F.lit(0)), F.lit(0.0)).alias("reached_share"), zero("repeats_most"),
     )
-    return chosen.where("repeats > 0"), report
+    used_rows = chosen.where("repeats > 0").withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
+    return used_rows, report
 
 
 def _rates(p: np.ndarray, most: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,6 @@ is counted in hash buckets so that a class may hold any share of the items.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -151,7 +150,8 @@ def pack(items: DataFrame, capacity: int = 4096, quantum: int | None = None) ->
 
     Defined cases: a null length, or one below 1, gets no container (``container`` and ``piece_length``
     null, one piece); repeated and equal items are items like any other; empty input gives no rows.
-    The names ``piece, n_pieces, piece_length, container`` of the input are replaced.
+    The names ``piece, n_pieces, piece_length, container`` of the input are replaced; names that begin with
+    ``__pack_`` are reserved.
     """
     made = ["piece", "n_pieces", "piece_length", "container"]
     items = items.drop(*made)
@@ -162,14 +162,14 @@ def pack(items: DataFrame, capacity: int = 4096, quantum: int | None = None) ->
     pieces = items.withColumn("n_pieces", n_pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
     size = F.when(F.col("piece") < F.col("n_pieces") - 1, F.lit(capacity)).otherwise(F.col("length") - F.lit(capacity) * (F.col("n_pieces") - 1)).cast("int")
     pieces = pieces.withColumn("piece_length", F.when(F.col("length") >= 1, size))
-    pieces = pieces.withColumn("_class", F.ceil(F.col("piece_length") / F.lit(quantum)).cast("int")).withColumn("_bucket", F.pmod(F.xxhash64("row_id", "piece"), F.lit(RANK_BUCKETS)).cast("int"))
+    pieces = pieces.withColumn("__pack_class", F.ceil(F.col("piece_length") / F.lit(quantum)).cast("int")).withColumn("__pack_bucket", F.pmod(F.xxhash64("row_id", "piece"), F.lit(RANK_BUCKETS)).cast("int"))
 
-    sized = pieces.where(F.col("_class").isNotNull())
+    sized = pieces.where(F.col("__pack_class").isNotNull())
     # at most (capacity / quantum) x RANK_BUCKETS rows, whatever the input
-    counts = sized.groupBy("_class", "_bucket").count().collect()
+    counts = sized.groupBy("__pack_class", "__pack_bucket").count().collect()
     histogram: dict[int, int] = {}
     offset: dict[tuple[int, int], int] = {}
-    for c, b, n in sorted((r["_class"], r["_bucket"], r["count"]) for r in counts):
+    for c, b, n in sorted((r["__pack_class"], r["__pack_bucket"], r["count"]) for r in counts):
         offset[c, b] = histogram.get(c, 0)
         histogram[c] = histogram.get(c, 0) + n
     plan = plan_containers(histogram, units)
@@ -182,22 +182,18 @@ def pack(items: DataFrame, capacity: int = 4096, quantum: int | None = None) ->
     spark = items.sparkSession
     shared = spark.sparkContext.broadcast((keys, columns, offsets))  # bounded by the classes
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("bigint")
+    def place(c: pd.Series, bucket: pd.Series, row: pd.Series) -> pd.Series:
         keys, columns, offsets = shared.value
-        for batch in batches:
-            c = batch.pop("_class").to_numpy(dtype=np.int64)
-            rank = offsets[c, batch.pop("_bucket").to_numpy(dtype=np.int64)] + batch.pop("_row").to_numpy(dtype=np.int64) - 1
-            at = np.searchsorted(keys, c << 40 | rank, side="right") - 1
-            row = columns[at]
-            batch["container"] = row[:, 5] + (row[:, 3] + (rank - row[:, 1]) % row[:, 2]) // row[:, 4]
-            yield batch
-
-    other = [c for c in items.columns if c not in ("row_id", "length")]
-    order = Window.partitionBy("_class", "_bucket").orderBy("row_id", "piece", "length")
-    narrow = sized.withColumn("_row", F.row_number().over(order)).select("row_id", "length", *other, "piece", "n_pieces", "piece_length", "_class", "_bucket", "_row")
-    schema = narrow.drop("_class", "_bucket", "_row").withColumn("container", F.lit(0).cast("long")).schema
-    placed = narrow.mapInPandas(place, schema)
-    unsized = pieces.where(F.col("_class").isNull()).select(*placed.columns[:-1]).withColumn("container", F.lit(None).cast("long"))
+        c = c.to_numpy(dtype=np.int64)
+        rank = offsets[c, bucket.to_numpy(dtype=np.int64)] + row.to_numpy(dtype=np.int64) - 1
+        at = columns[np.searchsorted(keys, c << 40 | rank, side="right") - 1]
+        return pd.Series(at[:, 5] + (at[:, 3] + (rank - at[:, 1]) % at[:, 2]) // at[:, 4])
+
+    inner = ["__pack_class", "__pack_bucket", "__pack_row"]
+    order = Window.partitionBy("__pack_class", "__pack_bucket").orderBy("row_id", "piece", "length")
+    placed = sized.withColumn("__pack_row", F.row_number().over(order)).withColumn("container", place(*inner)).drop(*inner)
+    unsized = pieces.where(F.col("__pack_class").isNull()).drop(*inner).withColumn("container", F.lit(None).cast("long"))
     return placed.unionByName(unsized)
 
 

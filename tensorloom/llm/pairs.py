@@ -258,10 +258,10 @@ def find_defects(pairs: DataFrame) -> DataFrame:
 
     Only defective pairs come out; ``defects`` is in order of precedence.
     """
-    spark = pairs.sparkSession
-    texts = spread(pairs.select("row_id", "user", "assistant"))
+    kind = pairs.schema["row_id"].dataType
+    texts = spread(pairs.select(F.col("row_id").cast("string").alias("row_id"), "user", "assistant"))
     judged = materialize(
-        texts.mapInPandas(_judge, "row_id bigint, defects array<string>, prev string, last string").where("size(defects) > 0 or last is not null"), "judged"
+        texts.mapInPandas(_judge, "row_id string, defects array<string>, prev string, last string").where("size(defects) > 0 or last is not null"), "judged"
     )
     endings = judged.where("last is not null").select("prev", "last").distinct()
     neighbours = materialize(texts.mapInPandas(_pairs_of, "prev string, word string").distinct(), "neighbours")
@@ -271,8 +271,7 @@ def find_defects(pairs: DataFrame) -> DataFrame:
     cut = materialize(cut, "cut")
     joined = judged.join(cut, ["prev", "last"], "left")
     defects = F.when(F.coalesce("cut", F.lit(False)), F.concat("defects", F.array(F.lit("truncated")))).otherwise(F.col("defects"))
-    assert spark is joined.sparkSession
-    return joined.select("row_id", defects.alias("defects")).where("size(defects) > 0")
+    return joined.select(F.col("row_id").cast(kind).alias("row_id"), defects.alias("defects")).where("size(defects) > 0")
 
 
 def main_defect(found: DataFrame) -> DataFrame:
