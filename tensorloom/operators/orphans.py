@@ -113,6 +113,7 @@ def asof_state(refs: DataFrame, events: DataFrame, key: str = "image", at: str =
     hours only one summary row per key and hour is ordered, so the longest ordered run of a key is
     bounded by the hours covered, not by its rows. Null keys or times get no event.
     """
+    refs = refs.drop("event", "event_at")
     side_columns = [c for c in refs.columns if c not in (key, at)]
     unplaced = refs.where(F.col(key).isNull() | F.col(at).isNull()).withColumns({"event": F.lit(None).cast("string"), "event_at": F.lit(None).cast("timestamp_ntz")})
     refs = refs.where(F.col(key).isNotNull() & F.col(at).isNotNull())
