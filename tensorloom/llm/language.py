@@ -57,7 +57,7 @@ _PREFIX = re.compile(r"^(?:\[[\d:.\s]+\]|[>*\-•#|]+|\d+[.)])\s*")
 
 def label_code(label: Column) -> Column:
     """Two-letter code of a label in any notation; null for placeholders and unknown labels."""
-    base = F.regexp_extract(F.lower(F.trim(label)), r"^([^\W\d_]+)(?:[-_].*)?$", 1)
+    base = F.regexp_extract(F.lower(F.trim(label)), r"^(\p{L}+)(?:[-_].*)?$", 1)
     pairs = [F.lit(x) for name, code in _CODE_OF.items() for x in (name, code)]
     return F.element_at(F.create_map(*pairs), F.when(base != "", base))
 

@@ -125,7 +125,9 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
     ``documents``: ``doc_id, text, source``; ``targets``: ``source, target_share, max_repeats``.
     Returns ``(doc_id, source, labelled, tokens, rate, repeats)`` for the documents of the mix and, per
     target, ``source, target_share, max_repeats, n_documents, tokens_available, fitted_share,
-    tokens_mixed, reached_share, repeats_most``.
+    tokens_mixed, reached_share, repeats_most``: ``fitted_share`` is what the rates are expected to
+    give by the memberships, ``reached_share`` counts the repeats, an unlabelled document for its
+    likeliest source.
 
     The mix is as large as the targets allow. Defined cases: a target without documents cannot be
     reached: it is reported with share 0 and the others keep their proportions; documents of other
@@ -187,18 +189,19 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
         # first rates: the goal over the capacity, as a step up from nothing
         start = np.where(capacity > 0, goal / np.maximum(capacity, 1e-9), 0) * most
         steps = -start[None, :]
-        best, best_steps, idle = np.inf, steps, 0
+        best, best_steps, reached, idle = np.inf, steps, goal, 0
         for _ in range(MAX_STEPS):
             now, _, _ = totals(steps)
             error = now - goal
             worst = float(np.max(np.abs(error[reachable]) / np.maximum(goal[reachable], 1))) if reachable.any() else 0.0
             idle = 0 if worst < 0.99 * best else idle + 1
             if worst < best:
-                best, best_steps = worst, steps
+                best, best_steps, reached = worst, steps, now
             if worst <= tolerance or idle >= 5:
                 break
             steps = np.vstack([steps, np.where(mass > 0, error / np.maximum(mass, 1e-9), 0)])
         steps = best_steps
+    fitted = reached if dims else goal
 
     # rates, then whole repeats by error diffusion in buckets of a source
     counts = {r["source"]: r["count"] for r in read_docs.groupBy("source").count().collect()}
@@ -242,7 +245,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
         F.count("*").alias("n_documents"), F.sum("tokens").alias("tokens_available"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens_mixed"),
         F.max("repeats").alias("repeats_most"),
     )
-    rows = [(r["source"], float(r["share"]), int(r["most"]), float(g)) for r, g in zip(wanted, goal / goal.sum() if goal.sum() else goal, strict=True)]
+    rows = [(r["source"], float(r["share"]), int(r["most"]), float(g)) for r, g in zip(wanted, fitted / fitted.sum() if fitted.sum() else fitted, strict=True)]
     plan = spark.createDataFrame(rows, "source string, target_share double, max_repeats bigint, fitted_share double")
     whole = used.agg(F.sum("tokens_mixed").alias("_all"))  # one row
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
