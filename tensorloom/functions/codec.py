@@ -6,12 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The sixteen numbers of the e2m1 format, low nibble first in a byte.
 E2M1 = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, -0.0, -0.5, -1.0, -1.5, -2.0, -3.0, -4.0, -6.0)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def bf16_bytes(values: pd.Series) -> pd.Series:
     """Little-endian bfloat16 bytes of an array of floats, rounded to nearest even; NaN stays NaN."""
 
@@ -27,7 +28,7 @@ def bf16_bytes(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def bf16_values(data: pd.Series) -> pd.Series:
     """Floats of little-endian bfloat16 bytes; null for null or an odd number of bytes."""
 

@@ -33,8 +33,8 @@ JOURNAL = "action string, level int, unit string, output string, rows bigint, by
 def plan_tiers(units: DataFrame, target_bytes: int, base_bytes: int = 4096, fanout: int = 8) -> tuple[DataFrame, DataFrame]:
     """Assign every unit (``unit string, bytes bigint, rows bigint``) to a merged output.
 
-    Returns ``(unit, output)`` and the merges ``(level, unit, output)`` that led there. An output never
-    exceeds the target by more than one unit; units of the target size or more stay as they are. The
+    Returns ``(unit, output)`` and the merges ``(level, unit, output)`` that led there. A merged output
+    stays below twice the target; units of the target size or more stay as they are. The
     last merge takes what the tiers left over, so at most one output per planning bucket stays small.
     """
     levels = max(1, math.ceil(math.log(max(2, target_bytes / base_bytes), fanout)))
@@ -128,6 +128,9 @@ def compact(
     An empty input, or one without new files, changes nothing. Records that are not whole, superseded
     ones and null keys are handled as stated; file names may be null (they form one file of their own).
     """
+    taken = {"unit", "output", "no", "run", "_rid", "_old"} & set(payload)
+    if taken:
+        raise ValueError(f"payload columns must not be named {sorted(taken)}")
     spark = records.sparkSession
     journal = committed(spark, out)
     consumed = journal.where(F.col("action") == "input").select(F.col("unit")).distinct()
@@ -167,23 +170,29 @@ def compact(
         lost = all_held.join(sizes, "unit", "left").where(F.coalesce(F.col("rows"), F.lit(0)) < F.col("had")).select("unit").join(untouched, "unit", "left_anti")
         idle = target.where((F.col("unit") == F.col("output")) & F.col("unit").startswith("out:")).select("unit").join(lost, "unit", "left_anti")
         target = target.join(idle, "unit", "left_anti")
-    target = materialize(target.withColumn("output", F.sha1(F.concat_ws("|", F.lit(run), "output"))), "target")
-
-    # one join puts the output number on the records, one exchange brings them together
-    place = materialize(kept.select("_rid", "unit").join(target, "unit").select("_rid", "unit", "output"), "place")
+    # outputs are numbered, so that a record carries eight bytes to its file (one row per output here)
+    numbered = target.select("output").distinct().select("output", F.row_number().over(Window.orderBy("output")).alias("no"))
+    target = materialize(target.join(numbered, "output").select("unit", "no", F.concat(F.lit(run), F.lit("-"), F.col("no").cast("string")).alias("output")), "target")
+
+    # one join puts the output number on the records, one exchange brings them together; record ids are
+    # unique among the records and among the live outputs
+    is_old = lambda c: F.col(c).startswith("out:").alias("_old")
+    place = materialize(kept.select("_rid", "unit").join(target, "unit").select("_rid", is_old("unit"), "no"), "place")
     placed = place.count()
-    source = records.select(unit.alias("unit"), F.col(record_id).alias("_rid"), *payload)
+    source = records.select(F.lit(False).alias("_old"), F.col(record_id).alias("_rid"), *payload)
     if old is not None:
-        source = source.unionByName(old.select(F.concat(F.lit("out:"), "output").alias("unit"), F.col(record_id).alias("_rid"), *payload))
-    outputs = target.select("output").distinct().count()
+        source = source.unionByName(old.select(F.lit(True).alias("_old"), F.col(record_id).alias("_rid"), *payload))
+    outputs = numbered.count()
     # a join by broadcast only while the counted mapping is small
-    merged = source.join(F.broadcast(place) if placed <= BROADCAST_ROWS else place, ["unit", "_rid"]).drop("unit", "_rid")
+    merged = source.join(F.broadcast(place) if placed <= BROADCAST_ROWS else place, ["_rid", "_old"]).drop("_rid", "_old")
     data = f"{out}/data/run={run}"
     delete_path(spark, data)
     if outputs:
-        merged.repartition(max(1, outputs), "output").write.option("compression", "uncompressed").partitionBy("output").parquet(data)
+        merged = merged.repartition(max(1, outputs), "no").withColumn("output", F.concat(F.lit(run), F.lit("-"), F.col("no").cast("string"))).drop("no")
+        merged.write.option("compression", "uncompressed").partitionBy("output").parquet(data)
 
-    made = place.groupBy("output").count().join(target.join(sizes, "unit").groupBy("output").agg(F.sum("bytes").alias("bytes")), "output")
+    sized = target.join(sizes, "unit").groupBy("output").agg(F.sum("rows").alias("count"), F.sum("bytes").alias("bytes"))
+    made = sized.select("output", "count", "bytes")
     rows = [
         inputs.select(F.lit("input").alias("action"), F.lit(None).cast("int").alias("level"), "unit", F.lit(None).cast("string").alias("output"), "rows", "bytes"),
         merges.select(F.lit("merge").alias("action"), "level", "unit", "output", F.lit(None).cast("long").alias("rows"), F.lit(None).cast("long").alias("bytes")),

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 from tensorloom.runtime import path_exists
 
@@ -107,7 +107,7 @@ def header_size(data: bytes | None) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("struct<w:bigint,h:bigint>")
+@F.pandas_udf(StructType().add("w", LongType()).add("h", LongType()))
 def image_size(content: pd.Series) -> pd.DataFrame:
     """Size of images by their header; nulls where it cannot be read."""
     sizes = [header_size(c) or (None, None) for c in content]
