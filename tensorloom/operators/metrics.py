@@ -36,17 +36,20 @@ def spikes(
     kind = df.schema[group].dataType.simpleString()
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_pos")
-        last, out = None, []
-        for k, s in enumerate(rows["step"]):
-            if last is None or s - last > cooldown:
+        rows = rows.sort_values("_pos").reset_index(drop=True)
+        last: dict = {}
+        out = []
+        for k, (g, s) in enumerate(zip(rows[group], rows["step"], strict=True)):
+            g = None if pd.isna(g) else g
+            if g not in last or s - last[g] > cooldown:
                 out.append(k)
-                last = s
-        return rows.iloc[out].drop(columns=["_pos"])
+                last[g] = s
+        return rows.iloc[out].drop(columns=["_pos", "_bucket"])
 
     schema = f"{group} {kind}, step long, loss double, loss_median double, gnorm double, gnorm_median double"
     narrow = hot.select(group, F.col(step).cast("long").alias("step"), F.col(loss).alias("loss"), "loss_median", F.col(gnorm).alias("gnorm"), "gnorm_median", "_pos")
-    alerts = narrow.groupBy(group).applyInPandas(keep, schema)
+    narrow = narrow.withColumn("_bucket", F.pmod(F.xxhash64(group), F.lit(64)))
+    alerts = narrow.groupBy("_bucket").applyInPandas(keep, schema)
     return alerts.select(group, "step", F.round("loss", 5).alias("loss"), F.round("loss_median", 5).alias("loss_median"), F.round("gnorm", 4).alias("gnorm"), F.round("gnorm_median", 4).alias("gnorm_median"))
 
 

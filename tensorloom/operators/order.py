@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from tensorloom.runtime import materialize
 
 
+#: Rows of one block of an ordered scan.
+SCAN_ROWS = 20_000
+
+
 def global_index(df: DataFrame, *order: Column | str, name: str = "idx") -> DataFrame:
     """``df`` with the 0-based position of each row in the given order.
 
@@ -148,49 +152,67 @@ def linear_scan(df: DataFrame, value: str, keep: float, *order: Column | str, gr
     The recurrence is linear, so a block of rows is two numbers: what it adds and how much of the entry
     state it keeps. Blocks of a group of any size run in parallel; null values leave the state as it is.
     """
-    placed = index_within(df, group, *order, name="_pos")
-    block = 10_000
-    blocks = placed.withColumn("_block", F.floor(F.col("_pos") / block))
-    seen = materialize(blocks, "blocks")
+    seen = global_index(df, group, *order, name="_gidx").withColumn("_block", F.floor(F.col("_gidx") / SCAN_ROWS))
+    kind = df.schema[group].dataType.simpleString()
 
-    def summary(part: pd.DataFrame) -> pd.DataFrame:
-        v = part.sort_values("_pos")[value].dropna().to_numpy(dtype=float)
-        e = None
-        for x in v:
-            e = x if e is None else keep * e + (1 - keep) * x
-        first = float(v[0]) if len(v) else np.nan
-        # from entry state s: keep^n * s + (e - keep^n * first) because e was seeded by the first value
-        held = keep ** len(v)
-        added = (e - held * first) if len(v) else 0.0
-        return pd.DataFrame({"_g": [part[group].iloc[0]], "_block": [part["_block"].iloc[0]], "first": [first], "held": [held], "added": [added], "n": [len(v)]})
+    def runs(part: pd.DataFrame):
+        """Rows of each group in a block, in order."""
+        part = part.sort_values("_gidx", kind="stable")
+        codes = pd.factorize(part[group], use_na_sentinel=False)[0]
+        ends = np.flatnonzero(np.diff(codes)) + 1
+        return part, list(zip([0, *ends], [*ends, len(part)], strict=True)) if len(part) else []
+
+    def fold(values: np.ndarray, e: float) -> np.ndarray:
+        out = np.empty(len(values))
+        for k, x in enumerate(values):
+            if x == x:
+                e = x if e != e else keep * e + (1 - keep) * x
+            out[k] = e
+        return out
 
-    kind = df.schema[group].dataType.simpleString()
-    sums = seen.select(group, "_pos", "_block", value).groupBy(group, "_block").applyInPandas(summary, f"_g {kind}, _block long, first double, held double, added double, n long")
+    def summary(part: pd.DataFrame) -> pd.DataFrame:
+        part, spans = runs(part)
+        v = part[value].to_numpy(dtype=float)
+        rows = []
+        for k, (lo, hi) in enumerate(spans):
+            # groups inside the block neither get a state nor hand one on
+            if 0 < k < len(spans) - 1:
+                continue
+            known = v[lo:hi][~np.isnan(v[lo:hi])]
+            # from an entry state s: held * s + added, where the fold seeds itself by the first value
+            held = keep ** len(known)
+            first = float(known[0]) if len(known) else np.nan
+            added = fold(known, np.nan)[-1] - held * first if len(known) else 0.0
+            rows.append((part[group].iloc[lo], part["_block"].iloc[lo], first, held, added, len(known)))
+        return pd.DataFrame(rows, columns=["_g", "_b", "first", "held", "added", "n"])
+
+    sums = seen.select(group, "_gidx", "_block", value).groupBy("_block").applyInPandas(summary, f"_g {kind}, _b long, first double, held double, added double, n long")
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        # one row per block of 10,000: a group of 10^9 rows has 10^5 of them
-        rows = rows.sort_values("_block")
+        # one row per block: a group of 10^9 rows has 5 * 10^4 of them
         state, out = np.nan, []
+        rows = rows.sort_values("_b")
         for first, held, added, n in zip(rows["first"], rows["held"], rows["added"], rows["n"], strict=True):
             out.append(state)
             if n:
                 state = added + held * (first if np.isnan(state) else state)
-        return pd.DataFrame({"_g": rows["_g"], "_block": rows["_block"], "_entry": out})
+        return pd.DataFrame({"_b": rows["_b"], "_entry": out})
 
-    entries = sums.groupBy("_g").applyInPandas(link, f"_g {kind}, _block long, _entry double")
+    # only groups that lie in several blocks are linked; a block begins with one of them at most
+    wide = sums.groupBy(F.col("_g").alias("_w")).count().where("count > 1").select("_w")
+    entries = sums.join(wide, F.col("_g").eqNullSafe(F.col("_w")), "left_semi").groupBy("_g").applyInPandas(link, "_b long, _entry double")
+    # the last group of a block has no entry there, so the greatest non-null entry is the first group's
+    entry = entries.groupBy("_b").agg(F.max(F.when(~F.isnan("_entry"), F.col("_entry"))).alias("_entry"))
 
     def fill(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_pos")
+        part, spans = runs(part)
+        v = part[value].to_numpy(dtype=float)
         e = part["_entry"].iloc[0]
-        e = None if e is None or np.isnan(e) else e
-        out = []
-        for x in part[value]:
-            if x is not None and not np.isnan(x):
-                e = x if e is None else keep * e + (1 - keep) * x
-            out.append(np.nan if e is None else e)
-        part[name] = out
-        return part.drop(columns=["_pos", "_block", "_entry"])
-
-    joined = seen.join(entries.withColumnRenamed("_g", group), [group, "_block"])
+        out = [fold(v[lo:hi], float(e) if k == 0 and e is not None else np.nan) for k, (lo, hi) in enumerate(spans)]
+        part[name] = np.concatenate(out)
+        return part[names]
+
     schema = df.withColumn(name, F.lit(0.0)).schema
-    return joined.groupBy(group, "_block").applyInPandas(lambda p: fill(p)[[f.name for f in schema]], schema)
+    names = [f.name for f in schema]
+    joined = seen.join(entry, F.col("_block") == F.col("_b"), "left")
+    return joined.groupBy("_block").applyInPandas(fill, schema)

@@ -35,7 +35,9 @@ def test_greedy_batches_equal_a_loop(spark, sizes):
     assert [b for _, b in got] == loop(sizes, 50)
 
 
-def test_linear_scan_equals_a_loop(spark):
+@pytest.mark.parametrize("block", [7, 20_000])
+def test_linear_scan_equals_a_loop(spark, monkeypatch, block):
+    monkeypatch.setattr(order, "SCAN_ROWS", block)
     rng = random.Random(1)
     rows = [(g, i, None if rng.random() < 0.1 else rng.random()) for g in ("a", "b", None) for i in range(50)]
     df = spark.createDataFrame(rows, "g string, i int, v double").where("g is not null")
