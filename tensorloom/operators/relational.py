@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.operators.order import global_index
-from tensorloom.runtime import checked_join, is_empty
+from tensorloom.runtime import checked_join, is_empty, with_scalars
 
 
 class GateError(RuntimeError):
@@ -152,7 +152,7 @@ def split_head(df: DataFrame, key: str, seed: int = 0, share: float = 0.02, leas
     if by is None:
         shuffled = global_index(df, hash_order(seed, key), key, name="_i")
         n = shuffled.agg(F.greatest(F.lit(least), F.floor(F.count("*") * share)).alias("_n_val"))  # one row
-        return shuffled.join(F.broadcast(n)).withColumn("split", F.when(F.col("_i") < F.col("_n_val"), "val").otherwise("train")).drop("_i", "_n_val")
+        return with_scalars(shuffled, n).withColumn("split", F.when(F.col("_i") < F.col("_n_val"), "val").otherwise("train")).drop("_i", "_n_val")
     sides = split_head(df.select(by).distinct(), by, seed, share, least)
     return checked_join(df, sides, by, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
@@ -163,16 +163,16 @@ def even_stride(df: DataFrame, order: list[str], n: int) -> DataFrame:
     total = indexed.agg(F.count("*").alias("_len"))
     if is_empty(df):
         return indexed.drop("_i")
-    picks = df.sparkSession.range(n).join(F.broadcast(total)).select(F.when(F.col("_len") <= n, F.col("id")).otherwise(F.floor(F.col("id") * F.col("_len") / n)).alias("_i"))
+    picks = with_scalars(df.sparkSession.range(n), total).select(F.when(F.col("_len") <= n, F.col("id")).otherwise(F.floor(F.col("id") * F.col("_len") / n)).alias("_i"))
     return indexed.join(picks.distinct(), "_i").drop("_i")
 
 
 def proportional(counts: DataFrame, key: str, count: str, n: int) -> DataFrame:
     """``round(n * count / total)`` for each key but the last, which gets the rest (half to even)."""
     total = counts.agg(F.sum(count).alias("_t"), F.max(key).alias("_last"))
-    share = counts.join(F.broadcast(total)).withColumn("_a", F.bround(F.lit(n) * F.col(count) / F.col("_t")).cast("long"))
+    share = with_scalars(counts, total).withColumn("_a", F.bround(F.lit(n) * F.col(count) / F.col("_t")).cast("long"))
     others = share.where(F.col(key) != F.col("_last")).agg(F.coalesce(F.sum("_a"), F.lit(0)).alias("_o"))
-    return share.join(F.broadcast(others)).select(key, count, F.when(F.col(key) == F.col("_last"), F.lit(n) - F.col("_o")).otherwise(F.col("_a")).alias("n_take"))
+    return with_scalars(share, others).select(key, count, F.when(F.col(key) == F.col("_last"), F.lit(n) - F.col("_o")).otherwise(F.col("_a")).alias("n_take"))
 
 
 def batched(df: DataFrame, order: list, size: int, drop_last: bool) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.operators.compaction import committed, compact, read_compacted
 from tensorloom.operators.orphans import ForeignKey, asof_state, image_of, orphan_cascade
-from tensorloom.runtime import materialize, scratch_path, skewless_join
+from tensorloom.runtime import materialize, scratch_path, skewless_join, with_scalars
 from tensorloom.sources.tables import table
 
 MANIFESTS = ("train_manifest", "val_manifest")
@@ -161,7 +161,7 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     after = kept.agg(
         (F.countDistinct("output") < F.lit(1)).alias("no_files"), F.count("*").alias("records_after"), F.countDistinct(image_of("key")).alias("images_after"), F.coalesce(F.sum(F.length("vis_bytes")), F.lit(0)).alias("bytes_after"),
     )
-    return before.crossJoin(after).drop("no_files")  # two aggregates of one row each
+    return with_scalars(before, after.drop("no_files"))
 
 
 def p5_journal(spark: SparkSession, sf: str) -> DataFrame:

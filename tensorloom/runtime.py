@@ -127,6 +127,12 @@ def checked_join(left: DataFrame, right: DataFrame, on, how: str, rows: int | No
     return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, on, how)
 
 
+def with_scalars(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """``df`` with the columns of a table of exactly one row, as constants."""
+    row = totals.first()
+    return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in totals.schema})
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
