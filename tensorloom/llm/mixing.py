@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.runtime import materialize, spread
+from tensorloom.runtime import materialize, spread, with_scalars
 
 #: Folder of public tokenizer files; a parameter of every call that counts tokens.
 TOKENIZERS = "/opt/tokenizers"
@@ -249,7 +249,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
     plan = spark.createDataFrame(rows, "source string, target_share double, max_repeats bigint, fitted_share double")
     whole = used.agg(F.sum("tokens_mixed").alias("_all"))  # one row
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    report = plan.join(used, "source", "left").crossJoin(whole).select(
+    report = with_scalars(plan.join(used, "source", "left"), whole).select(
         "source", "target_share", "max_repeats", zero("n_documents"), zero("tokens_available"), "fitted_share", zero("tokens_mixed"),
         F.coalesce(F.col("tokens_mixed") / F.nullif(F.col("_all"), F.lit(0)), F.lit(0.0)).alias("reached_share"), zero("repeats_most"),
     )
