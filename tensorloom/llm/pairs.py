@@ -2,8 +2,8 @@
 
 Rules, in order of precedence: ``empty``, ``copy``, ``refusal``, ``other_language``, ``truncated``. Four
 of them look at the pair alone. Whether an answer ends inside a word is judged by all texts of the
-corpus: the last two words never stand next to each other elsewhere, but the first of them is followed
-by a longer word that begins like the second.
+corpus: the last two words never stand next to each other elsewhere (or never at a sentence's end, where
+the last has at most three letters), but the first is followed by a longer word that begins like the second.
 
 Defined cases: a null or empty question is never copied and asks for no language; null answers are
 ``empty``; repeated rows are judged each for itself; empty tables give no rows; very long texts are
@@ -239,7 +239,7 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Distinct neighbouring words of every batch, without the last two of a text that has no end mark."""
     for batch in batches:
-        seen: set[tuple[str, str]] = set()
+        seen: dict[tuple[str, str], bool] = {}
         for column in ("user", "assistant"):
             for text in batch[column]:
                 s = clean(text).strip()
@@ -248,9 +248,12 @@ def _pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 t = tokens(s)
                 if not _ENDS.search(s):
                     t = t[:-1]
-                seen.update(zip(t, t[1:], strict=False))
-        seen = [(a, b) for a, b in seen if b.isalpha() and b != "N"]
-        yield pd.DataFrame({"prev": [a for a, _ in seen], "word": [b for _, b in seen]})
+                for k, pair in enumerate(zip(t, t[1:], strict=False)):
+                    # a full stop before a number ends an abbreviation, not a sentence
+                    ends = t[k + 2 : k + 3] == ["."] and t[k + 4 : k + 5] != ["#"]
+                    seen[pair] = seen.get(pair, False) or ends
+        rows = [(a, b, ends) for (a, b), ends in seen.items() if b.isalpha() and b != "N"]
+        yield pd.DataFrame(rows, columns=["prev", "word", "ends"])
 
 
 def find_defects(pairs: DataFrame) -> DataFrame:
@@ -264,8 +267,9 @@ def find_defects(pairs: DataFrame) -> DataFrame:
         texts.mapInPandas(_judge, "row_id string, defects array<string>, prev string, last string").where("size(defects) > 0 or last is not null"), "judged"
     )
     endings = judged.where("last is not null").select("prev", "last").distinct()
-    neighbours = materialize(texts.mapInPandas(_pairs_of, "prev string, word string").distinct(), "neighbours")
-    complete = neighbours.select("prev", F.col("word").alias("last"))
+    neighbours = materialize(texts.mapInPandas(_pairs_of, "prev string, word string, ends boolean").groupBy("prev", "word").agg(F.max("ends").alias("ends")), "neighbours")
+    # short words also begin many others: they must be known to end a sentence
+    complete = neighbours.where((F.length("word") > 3) | F.col("ends")).select("prev", F.col("word").alias("last"))
     begun = neighbours.where(F.length("word") > 1).select("prev", F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))")).alias("last"))
     cut = endings.join(complete, ["prev", "last"], "left_anti").join(begun, ["prev", "last"], "left_semi").withColumn("cut", F.lit(True))
     cut = materialize(cut, "cut")
