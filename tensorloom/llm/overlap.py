@@ -1,15 +1,15 @@
-"""Same or near-same pairs across splits: edit-distance segment join with exact facts.
+"""Same or near-same pairs across splits: join on exact facts, verified by edit distance.
 
 A pair (question, answer) is brought into a canonical form: markup, case, lead-ins, instructions on
 answer style, articles and prepositions go, a few spellings and synonyms are unified. Two pairs are the
 same if the canonical forms agree up to typing errors inside words, with every number and every name
-known by its capital equal, and with a rare word in common (or one known rare word at most on either side).
+known by its capital equal.
 
-The join: the evaluation string is cut into k + 1 segments (k grows with its length), of which one at
-least must stand unchanged in a string within distance k. Training strings offer their substrings at
-the positions where a segment can lie, for the lengths that occur among the evaluation strings with
-the same numbers. Segments, numbers and length are one hash-join key; candidates are verified by banded
-dynamic programming. Equal canonical forms are one class on either side, so copies never multiply work.
+The join: the verification lets no number and no name be mistyped, dropped or added, so a form can only
+equal forms with the same numbers that hold all its names. Each form meets those that hold the rarest of
+its names; forms without names meet all forms without names that have the same numbers. No bound on
+letters comes before the verification, which is banded dynamic programming. Equal canonical forms are one
+class on either side, so copies never multiply work.
 
 Defined cases: rows without question and answer match nothing; a null image equals no image; ties and
 repeated rows are rows like any other; empty tables give no pairs; texts are compared whole.
@@ -213,11 +213,14 @@ def same(a: list[str], b: list[str], k: int, names: frozenset[str] | set[str] =
 def _loose(word: str) -> int:
     """Cost of a word that only one side has: possible for a mistyped word without content, else never."""
     if word[0].isdigit() or len(word) > 9:
-        return 1000
-    return 2 if any(_close(word, e) is not None for e in _EMPTY_WORDS if len(e) > 2) else 1000
+        return _NEVER
+    return 2 if any(_close(word, e) is not None for e in _EMPTY_WORDS if len(e) > 2) else _NEVER
 
 
-_FORM = "row_id string, image string, form string, numbers string, short boolean, names string"
+#: More than the edits allowed for a text of any length.
+_NEVER = 1 << 40
+
+_FORM = "row_id string, image string, form string, numbers string, short boolean, names string, keys string"
 
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,35 +235,11 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if short and image is None:
                 continue  # fewer than ten words count only together with the image
             numbers = " ".join(w for w in q if w[0].isdigit()) + "|" + " ".join(w for w in a if w[0].isdigit())
-            names = " ".join(dict.fromkeys(names_of(question) + names_of(answer)))
-            out.append((row, image, " ".join(q) + " | " + " ".join(a), numbers, short, names))
-        yield pd.DataFrame(out, columns=["row_id", "image", "form", "numbers", "short", "names"])
-
-
-#: Rows handed on at once: long texts have many segments.
-_FLUSH = 200_000
-
-
-def _pieces(found: Iterator[tuple[bytes, int, int, list[tuple[int, str]]]]) -> Iterator[pd.DataFrame]:
-    """(class, block, length, segments) as tables of bounded size."""
-    columns = ("class_id", "block", "length", "part", "segment")
-    rows: list[tuple] = []
-    for c, b, n, parts in found:
-        rows += [(c, b, n, i, s) for i, s in parts]
-        if len(rows) >= _FLUSH:
-            yield pd.DataFrame(rows, columns=columns)
-            rows = []
-    yield pd.DataFrame(rows, columns=columns)
-
-
-def _val_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield from _pieces((c, b, len(f), segments(f)) for c, b, f in zip(batch["class_id"], batch["block"], batch["form"], strict=True))
-
-
-def _train_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield from _pieces((c, b, n, windows(f, n)) for c, b, f, n in zip(batch["class_id"], batch["block"], batch["form"], batch["length"], strict=True))
+            names = list(dict.fromkeys(names_of(question) + names_of(answer)))
+            # names that an equal form must hold
+            keys = " ".join(w for w in names if w in q + a and _loose(w) == _NEVER)
+            out.append((row, image, " ".join(q) + " | " + " ".join(a), numbers, short, " ".join(names), keys))
+        yield pd.DataFrame(out, columns=["row_id", "image", "form", "numbers", "short", "names", "keys"])
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,6 +254,25 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[keep, ["eval_class", "train_class"]]
 
 
+def _candidates(e_class: DataFrame, t_class: DataFrame) -> DataFrame:
+    """Every pair of classes that the verification can accept, by block and names: ``eval_class, train_class``."""
+
+    def holding(named: DataFrame, others: DataFrame) -> DataFrame:
+        """Classes with names, each with the other classes of its block that hold the rarest of them."""
+        keys = named.where("keys != ''").select("class_id", "block", F.explode(F.split("keys", " ")).alias("word"))
+        words = others.select(F.col("class_id").alias("other"), "block", F.explode(F.array_distinct(F.split("form", " "))).alias("word"))
+        there = words.join(keys.select("block", "word").distinct(), ["block", "word"], "left_semi")
+        often = keys.join(there.groupBy("block", "word").count(), ["block", "word"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+        rarest = often.groupBy("class_id").agg(F.min(F.struct("count", "block", "word")).alias("rarest")).where("rarest.count > 0")
+        return rarest.select("class_id", "rarest.block", "rarest.word").join(there, ["block", "word"]).select("class_id", "other")
+
+    e_bare, t_bare = e_class.where("keys = ''"), t_class.where("keys = ''")
+    by_eval = holding(e_class, t_class).toDF("eval_class", "train_class")
+    by_train = holding(t_class, e_bare).toDF("train_class", "eval_class")
+    bare = e_bare.select("block", F.col("class_id").alias("eval_class")).join(t_bare.select("block", F.col("class_id").alias("train_class")), "block").drop("block")
+    return by_eval.unionByName(by_train).unionByName(bare).where(F.col("eval_class") != F.col("train_class"))
+
+
 def near_pairs(evaluation: DataFrame, training: DataFrame) -> DataFrame:
     """Pairs of rows with the same question and answer: ``eval_id, train_id``.
 
@@ -286,58 +284,18 @@ def near_pairs(evaluation: DataFrame, training: DataFrame) -> DataFrame:
         # rows of one class: same form, and same image where that counts
         formed = formed.withColumn("image", F.when(F.col("short"), F.col("image")))
         formed = formed.withColumns({"class_id": F.unhex(F.md5(F.concat_ws("\0", "form", F.coalesce("image", F.lit(""))).cast("binary"))), "block": F.xxhash64("numbers", "short", "image")})
-        sides[name] = materialize(formed.select("row_id", "class_id", "form", "block", "names"), f"forms_{name}")
+        sides[name] = materialize(formed.select("row_id", "class_id", "form", "block", "names", "keys"), f"forms_{name}")
     e, t = sides["eval"], sides["train"]
     blocks = e.select("block").distinct()
-    e_class = materialize(e.groupBy("class_id").agg(F.first("form").alias("form"), F.first("block").alias("block"), F.max("names").alias("names")), "classes_eval")
+    # names and keys of one row: an upper-case copy shows no names, its equals may
+    of_class = (F.first("form").alias("form"), F.first("block").alias("block"), F.max(F.struct("names", "keys")).alias("known"))
+    fields = ("class_id", "form", "block", "known.names", "known.keys")
+    e_class = materialize(e.groupBy("class_id").agg(*of_class).select(*fields), "classes_eval")
     # only classes whose numbers occur among the evaluation rows can match
-    t_class = materialize(t.join(blocks, "block", "left_semi").groupBy("class_id").agg(F.first("form").alias("form"), F.first("block").alias("block"), F.max("names").alias("names")), "classes_train")
+    t_class = materialize(t.join(blocks, "block", "left_semi").groupBy("class_id").agg(*of_class).select(*fields), "classes_train")
     equal = e_class.select(F.col("class_id").alias("eval_class")).join(t_class.select(F.col("class_id").alias("eval_class")), "eval_class", "left_semi").withColumn("train_class", F.col("eval_class"))
 
-    # Lengths are looked up by numbers and one rare word in common, so that a training string is only
-    # cut for the few evaluation strings it may equal. Frequent words: in 1 % of the evaluation classes
-    # at least, hence a hundred times the mean number of words at most.
-    total = e_class.count()
-    spoken = e_class.select(F.explode(F.array_distinct(F.split("form", " "))).alias("word")).groupBy("word").count()
-    frequent = [r["word"] for r in spoken.where(F.col("count") >= max(2, total / 100)).collect()]
-
-    def rare_words(classes: DataFrame) -> DataFrame:
-        rare = F.filter(F.array_except(F.split("form", " "), F.array(*[F.lit(w) for w in ["|", *frequent]])), lambda w: (w != "") & ~w.rlike("^[0-9]"))
-        return classes.select("class_id", "block", F.explode(rare).alias("word"))
-
-    e_words, t_words = materialize(rare_words(e_class), "words_eval"), materialize(rare_words(t_class), "words_train")
-    # typing errors are words too: what one class alone has, or what is close to a frequent word, does not count
-    near: dict[tuple[str, int], list[str]] = {}
-    for w in filter(None, frequent):
-        for end in {w[0], "$" + w[-1]}:
-            near.setdefault((end, len(w)), []).append(w)
-
-    def own_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = [
-                not any(_close(w, f) is not None for end in {w[0], "$" + w[-1]} for n in range(len(w) - 2, len(w) + 3) for f in near.get((end, n), ()))
-                for w in batch["word"]
-            ]
-            yield batch.loc[keep, ["word"]]
-
-    known = e_words.select("word").unionByName(t_words.select("word")).groupBy("word").count().where("count > 1").select("word").mapInPandas(own_words, "word string")
-
-    def by_word(classes: DataFrame, rare: DataFrame) -> DataFrame:
-        """(class, block, word) for every known rare word; with an empty word where a class has one at most."""
-        kept = rare.join(known, "word", "left_semi").select("class_id", "block", "word")
-        several = kept.groupBy("class_id").count().where("count > 1").select("class_id")
-        return kept.unionByName(classes.join(several, "class_id", "left_anti").select("class_id", "block", F.lit("").alias("word")))
-
-    sizes = lambda c: c.select("class_id", F.length("form").alias("length"))
-    lengths = by_word(e_class, e_words).join(sizes(e_class), "class_id").select("block", "word", "length").distinct()
-    bound = F.lit(2) + F.floor(F.col("length") / 16)
-    sized = by_word(t_class, t_words).join(lengths, ["block", "word"]).select("class_id", "length").distinct().join(t_class.select("class_id", "block", "form"), "class_id").where(F.abs(F.length("form") - F.col("length")) <= bound)
-    schema = "class_id binary, block bigint, length int, part int, segment string"
-    key = F.xxhash64("block", "length", "part", "segment").alias("key")
-    e_key = e_class.select("class_id", "block", "form").mapInPandas(_val_segments, schema).select(key, F.col("class_id").alias("eval_class"))
-    t_key = spread(sized.select("class_id", "block", "form", "length")).mapInPandas(_train_windows, schema).select(key, F.col("class_id").alias("train_class"))
-    found = e_key.join(t_key, "key").select("eval_class", "train_class").where(F.col("eval_class") != F.col("train_class")).distinct()
-    forms = found.join(e_class.select(F.col("class_id").alias("eval_class"), F.col("form").alias("form_a"), F.col("names").alias("names_a")), "eval_class").join(t_class.select(F.col("class_id").alias("train_class"), F.col("form").alias("form_b"), F.col("names").alias("names_b")), "train_class")
+    forms = _candidates(e_class, t_class).join(e_class.select(F.col("class_id").alias("eval_class"), F.col("form").alias("form_a"), F.col("names").alias("names_a")), "eval_class").join(t_class.select(F.col("class_id").alias("train_class"), F.col("form").alias("form_b"), F.col("names").alias("names_b")), "train_class")
     checked = forms.mapInPandas(_verify, "eval_class binary, train_class binary")
     classes = materialize(equal.unionByName(checked), "same_classes")
     eval_rows = e.select(F.col("class_id").alias("eval_class"), F.col("row_id").alias("eval_id"))

@@ -94,3 +94,11 @@ def test_join_equals_brute_force(spark):
 
 def test_close():
     assert overlap._close("shown", "shwon") == 1 and overlap._close("offers", "oers") == 2 and overlap._close("left", "right") is None
+
+
+def test_several_mistyped_rare_words(spark):
+    text = lambda a, b, name="": (f"which part of the printed diagram {name} shows {a} next to {b}?", "it is drawn in the lower corner")
+    for name in ("", "of Nevoten"):
+        val = [(1, *text("lantern", "workbench", name), "a"), (2, *text("harbour", "meadow", name), "a"), (3, *text("violin", "cushion", name), "a")]
+        train = [(10, *text("lantren", "wrokbench", name), "b"), (11, "name these words", "lantern workbench harbour meadow violin cushion all of them today", "b")]
+        assert found(spark, val, train) == [(1, 10)]
