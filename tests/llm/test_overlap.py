@@ -102,3 +102,28 @@ def test_several_mistyped_rare_words(spark):
         val = [(1, *text("lantern", "workbench", name), "a"), (2, *text("harbour", "meadow", name), "a"), (3, *text("violin", "cushion", name), "a")]
         train = [(10, *text("lantren", "wrokbench", name), "b"), (11, "name these words", "lantern workbench harbour meadow violin cushion all of them today", "b")]
         assert found(spark, val, train) == [(1, 10)]
+
+
+def test_mistyped_articles_and_swaps_equal_brute_force(spark):
+    answer = "It is red and stays there."
+    assert found(spark, [(1, "What is the colour of the gauge needle?", answer, "a")], [(2, "What is teh colour of the gauge needle?", answer, "a")]) == [(1, 2)]
+    rng = random.Random(7)
+    words = "bolt crane drill engine funnel gasket hammer ingot jack lever".split()
+    base = [f"What is the {a} of the {b} on the {c} for the figure" for a, b, c in (rng.sample(words, 3) for _ in range(12))]
+
+    def dirty(t):
+        out = t.split()
+        for at in rng.sample(range(len(out)), 3):
+            w = out[at]
+            out[at] = {"the": "teh", "figure": "figrue"}.get(w, w[:-2] + w[-1] + w[-2] if len(w) > 4 else w)
+        return " ".join(out)
+
+    rows = lambda first, texts: [(first + i, t + "?", "It stays at 4 there.", "a") for i, t in enumerate(texts)]
+    val, train = rows(0, base), rows(100, [dirty(t) for t in base * 4])
+    form = {r[0]: (canonical(r[1], True)[0], canonical(r[2], False)[0]) for r in val + train}
+    want = []
+    for v in val:
+        a = form[v[0]]
+        k = distance_bound(len(" ".join(a[0]) + " | " + " ".join(a[1])))
+        want += [(v[0], t[0]) for t in train if same(a[0], form[t[0]][0], k) and same(a[1], form[t[0]][1], k)]
+    assert found(spark, val, train) == sorted(want) and len(want) >= 12
