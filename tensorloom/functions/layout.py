@@ -48,4 +48,5 @@ def labels(u: Column, a: Column, nv: Column, length: Column) -> Column:
 
 def spliced(ids: Column, visual: Column, nv: Column) -> Column:
     """Positions 1 .. nv replaced by the visual values, row for row."""
-    return F.transform(ids, lambda x, i: F.when((i >= 1) & (i <= nv), F.element_at(visual, i.cast("int"))).otherwise(x))
+    # by slices: a lambda would build ``visual`` anew for every position
+    return F.concat(F.slice(ids, 1, 1), F.slice(visual, F.lit(1), nv), F.slice(ids, nv + 2, F.greatest(F.lit(0), F.size(ids) - nv - 1)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions import codec, geometry, keys, layout
 from tensorloom.operators import metrics, order, relational
 from tensorloom.operators.orphans import image_of
-from tensorloom.runtime import delete_path, scratch_path, union_all
+from tensorloom.runtime import delete_path, scratch_path, skewless_join, union_all
 from tensorloom.sources import files
 from tensorloom.sources.tables import table
 from tensorloom.streaming import telemetry
@@ -590,6 +590,55 @@ def splice_visual(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("row_id", layout.spliced(ids, visual, nv).alias("spliced"))
 
 
+# The same layout over the whole job: both manifests, real numbers of visual tokens, the trainer's bound.
+MAX_SEQ_LEN, BATCH_SIZE = 4096, 8
+
+
+def _collated(spark: SparkSession, sf: str) -> DataFrame:
+    """``table_name, row_id, batch, nv, u, a, n, pad_to`` of every row that can be loaded.
+
+    A row without ``emb`` has no visual tokens; an image without tensor record leaves its row out. Batches are
+    eight consecutive ``row_id`` of one manifest, padded to their longest sequence.
+    """
+    rows = union_all([_T(spark, sf, m).select(F.lit(m).alias("table_name"), "row_id", "emb", image_of("emb").alias("image"), "user", "assistant") for m in ("train_manifest", "val_manifest")])
+    images = _T(spark, sf, "emb_shards").groupBy(image_of("key").alias("image")).agg(F.max("n_vis").cast("int").alias("n_vis")).where(F.col("image").isNotNull())
+    known = skewless_join(rows, images, "image", "left").withColumn("nv", F.when(F.col("emb").isNull(), 0).otherwise(F.col("n_vis"))).where(F.col("nv").isNotNull())
+    nv = F.col("nv")
+    u, a = layout.budget(layout.char_tokens(F.col("user")), layout.char_tokens(F.col("assistant")), nv, MAX_SEQ_LEN)
+    known = known.select("table_name", "row_id", F.floor(F.col("row_id") / BATCH_SIZE).alias("batch"), "nv", "user", "assistant", layout.sequence_length(u, a, nv).alias("n"))
+    padded = known.withColumn("pad_to", F.max("n").over(Window.partitionBy("table_name", "batch")))
+    return padded.select("table_name", "row_id", "batch", "nv", u.alias("u"), a.alias("a"), "n", "pad_to")
+
+
+@query()
+def collate_layout_full(spark: SparkSession, sf: str) -> DataFrame:
+    return _collated(spark, sf).select("table_name", "row_id", "n", layout.input_ids(F.col("u"), F.col("a"), F.col("nv"), F.col("pad_to")).alias("input_ids"))
+
+
+@query()
+def collate_labels_full(spark: SparkSession, sf: str) -> DataFrame:
+    return _collated(spark, sf).select("table_name", "row_id", layout.labels(F.col("u"), F.col("a"), F.col("nv"), F.col("pad_to")).alias("labels"))
+
+
+@query()
+def collate_attention_full(spark: SparkSession, sf: str) -> DataFrame:
+    mask = layout.attention_mask(F.col("u"), F.col("a"), F.col("nv"), F.col("pad_to"))
+    return _collated(spark, sf).select("table_name", "row_id", mask.alias("mask"), F.col("n").cast("long").alias("n_tokens"))
+
+
+@query()
+def batch_pad_len_full(spark: SparkSession, sf: str) -> DataFrame:
+    return _collated(spark, sf).groupBy("table_name", "batch").agg(F.max("pad_to").alias("pad_len"), F.sum("n").alias("n_tokens"))
+
+
+@query()
+def splice_visual_full(spark: SparkSession, sf: str) -> DataFrame:
+    nv = F.col("nv")
+    ids = layout.input_ids(F.col("u"), F.col("a"), nv, F.col("n"))
+    visual = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), nv)), lambda x: x + 1000)
+    return _collated(spark, sf).select("table_name", "row_id", layout.spliced(ids, visual, nv).alias("spliced"))
+
+
 # --- binary tensors ----------------------------------------------------------------------------
 _LUT = "[0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 0.0, -0.5, -1.0, -1.5, -2.0, -3.0, -4.0, -6.0]"
 
