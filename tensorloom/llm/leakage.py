@@ -176,7 +176,7 @@ class Index:
                     hits[item].append((j, k))
         out = []
         for item, places in hits.items():
-            # runs of neighbouring hits on one diagonal: a passage needs one of six words at least
+            # runs of neighbouring hits on one diagonal
             ends: dict[tuple[int, int], int] = {}
             longest, stretch = 0, (0, 0)
             for j, k in places:
@@ -184,8 +184,6 @@ class Index:
                 ends[j, k] = length
                 if length > longest:
                     longest, stretch = length, (j + GRAM - length, j + GRAM - 1)
-            if longest < 6:
-                continue
             words = self.items[item]
             if longest >= least:
                 # unchanged; where more belongs to it the alignment below would only lengthen it
@@ -210,12 +208,17 @@ class Index:
 
 
     def _verify(self, item: str, doc: list[str], window: list[tuple[int, int]], least: int) -> tuple[int, int, int] | None:
-        """First and last position and words of a passage around the hits of one window, along their most frequent diagonals."""
+        """First and last position and words of a passage around the hits of one window, along each of their diagonals."""
         words, marks = self.items[item], self.marks[item]
         low, high = max(0, window[0][0] - 20), min(len(doc), window[-1][0] + GRAM + 20)
         best = None
-        for shift, _ in Counter((j - k) // 8 for j, k in window).most_common(2):
+        # a passage keeps so many words of the item at least, whatever its length
+        needed = least - (least + 1) // 6
+        there = set(doc[low:high])
+        for shift, _ in Counter((j - k) // 8 for j, k in window).most_common():
             a, b = max(0, low - 8 * shift - 40), min(len(words), high - 8 * shift + 40)
+            if sum(w in there for w in words[a:b]) < needed or not any(m and w in there for w, m in zip(words[a:b], marks[a:b], strict=True)):
+                continue
             found = passage(align(words[a:b], doc[low:high]), least, marks[a:b]) if b > a else None
             if found and (best is None or found[0] > best[2]):
                 best = (low + found[1], low + found[2], found[0])

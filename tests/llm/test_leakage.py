@@ -78,3 +78,14 @@ def test_remove(spark):
     got = {r["doc_id"]: (r["action"], r["text"]) for r in remove_leaks(documents, found, 0.7).collect()}
     assert got[1][0] == "cut" and ITEMS[0][1][:-1] not in got[1][1] and got[1][1].endswith(" end")
     assert got[2] == ("dropped", None) and got[3] == ("kept", "clean") and got[4] == ("kept", None)
+
+
+def test_every_sixth_word_edited(spark):
+    words = ITEMS[7][1].rstrip(".").split()
+    for n in (17, 35):
+        part = words[2 : 2 + n]
+        changed = [w if k % 6 != 5 else "changed" for k, w in enumerate(part)]
+        dropped = [w for k, w in enumerate(part) if k % 6 != 5]
+        added = [x for k, w in enumerate(part) for x in ([w, "also"] if k % 6 == 5 and k + 1 < n else [w])]
+        docs = [(i, "before it " + " ".join(d) + " after it") for i, d in enumerate((changed, dropped, added))]
+        assert leaks(spark, docs) == [(0, 7), (1, 7), (2, 7)]
