@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.text import clean, guess_language, language_scores, unquoted, words
+from tensorloom.llm.text import clean, guess_language, language_scores, main_script, unquoted, words
 from tensorloom.runtime import materialize, spread
 
 ORDER = ("empty", "copy", "refusal", "other_language", "truncated")
@@ -135,11 +135,30 @@ def is_refusal(answer: str) -> bool:
     return bool(_REFUSALS.search(" ".join(said.split())))
 
 
+def is_other_script(asked: str, said: str) -> bool:
+    """Most letters of the answer belong to another script than those of the question.
+
+    Words that stand in the question do not count, nor does a single letter of an alphabet (a symbol). Names
+    are written in Latin letters everywhere: a Latin answer to another script counts from four words on.
+    """
+    want, _ = main_script(asked)
+    known = set(words(asked))
+    rest = [w for w in words(said) if w not in known]
+    script, n = main_script(" ".join(rest))
+    if want is None or script in (None, want) or main_script(said)[0] != script:
+        return False
+    if script == "LATIN":
+        return len(rest) >= 4
+    return n >= 2 or script in ("HAN", "HANGUL")
+
+
 def is_other_language(question: str | None, answer: str) -> bool:
     asked = clean(question)
     if not asked or _TRANSLATION.search(asked):
         return False
     said = unquoted(clean(answer))
+    if is_other_script(unquoted(asked), said):
+        return True
     if len(words(said)) < 4:
         return False
     want = guess_language(unquoted(asked))

@@ -6,6 +6,7 @@ import html
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 from tensorloom.llm.words import FUNCTION_WORDS, LETTERS
 
@@ -41,6 +42,23 @@ def unquoted(text: str) -> str:
     return _QUOTED.sub(" ", text)
 
 
+#: Scripts that one language mixes.
+_TOGETHER = {"CJK": "HAN", "HIRAGANA": "HAN", "KATAKANA": "HAN", "KATAKANA-HIRAGANA": "HAN", "IDEOGRAPHIC": "HAN", "BOPOMOFO": "HAN"}
+
+
+@lru_cache(maxsize=50_000)
+def _script(letter: str) -> str:
+    name = unicodedata.name(letter, "").split(" ")[0]
+    return _TOGETHER.get(name, name)
+
+
+def main_script(text: str) -> tuple[str | None, int]:
+    """Unicode script of more than half of the letters, and how many letters it has; None where there is none."""
+    count = Counter(_script(ch) for ch in text if ch.isalpha())
+    script, n = max(count.items(), key=lambda x: x[1], default=(None, 0))
+    return (script, n) if script and n * 2 > count.total() else (None, 0)
+
+
 def language_scores(text: str) -> Counter:
     """Evidence for each language: function words, and letters typical of it. Empty where there is none."""
     low = text.lower()

@@ -81,3 +81,24 @@ def test_long_text(spark):
     text = "The map is in the lower corner. " * 20000
     df = spark.createDataFrame([(1, "Where?", text), (2, text, text)], "row_id bigint, user string, assistant string")
     assert {r["row_id"]: r["defects"] for r in find_defects(df).collect()}.get(1) is None
+
+
+@pytest.mark.parametrize(
+    "answer",
+    ["Η κάτοψη βρίσκεται στο υποσέλιδο.", "Κάτω", "الخريطة في أسفل الصفحة", "نعم", "המפה נמצאת בתחתית", "座位图在页脚中。", "是", "座席表はフッターにあります", "좌석표는 바닥글에 있습니다", "네", "Да", "В подвале", "मानचित्र नीचे है"],
+)
+def test_other_script(answer):
+    assert pairs.is_other_language(Q, answer)
+    assert not pairs.is_other_language("Translate the title of the page.", answer)
+    assert not pairs.is_other_language(answer, answer) and not pairs.is_other_language(None, answer)
+
+
+@pytest.mark.parametrize(("question", "answer"), [
+    (Q, "5 Ω"), (Q, "π"), (Q, "10 µm"), (Q, 'The label reads "Отмена".'), ("What does the button Отмена close?", "Отмена"), (Q, "42"), (Q, "Ünïcode près d'où"), ("座席表はどこですか", "東京"), ("Где карта Nevoten?", "Nevoten Maps"),
+])
+def test_no_other_script(question, answer):
+    assert not pairs.is_other_language(question, answer)
+
+
+def test_latin_answer_to_another_script():
+    assert pairs.is_other_language("Где находится план зала?", "The plan is in the footer.")
