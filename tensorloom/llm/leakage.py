@@ -5,7 +5,7 @@ invisible characters do not count. The n-grams of the evaluation items, instruct
 several items share left out, are broadcast in blocks of bounded size; every document is scanned once
 per block. A passage counts if at least ``least`` words of an item stand in the document in order, with
 at most one word in six changed, added or dropped, and most of the words that set the item apart from
-the others intact (or a run of ``least`` words is unchanged). Such a passage always holds an unchanged run of four
+the others intact (or none of them in it, or a run of ``least`` words unchanged). Such a passage always holds an unchanged run of four
 words, so the scan misses none; hits are verified by aligning the words around them.
 
 Defined cases: null and empty texts hold nothing; repeated items and documents each count; very long
@@ -80,6 +80,14 @@ def item_sentences(items: DataFrame, shared_by: int) -> DataFrame:
     return parts.join(shared, "sentence", "left_anti").select("item_id", "n", "sentence")
 
 
+def common_words(sentences: DataFrame) -> frozenset[str]:
+    """Words of more than 1 % of the distinct item texts (and more than three): at most a hundred times the mean number of words of a text."""
+    texts = sentences.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("n", "sentence"))).alias("parts")).select(F.col("parts.sentence").alias("parts")).distinct()
+    few = max(3, texts.count() // 100)
+    words = texts.select(F.explode(F.array_distinct(F.split(F.array_join("parts", " "), " "))).alias("word"))
+    return frozenset(r["word"] for r in words.groupBy("word").count().where(F.col("count") > few).collect())
+
+
 def align(item: list[str], doc: list[str]) -> list[tuple[str, int, int]]:
     """Best local alignment of two word lists: (kind, item position, document position), kinds = x i d."""
     n, m = len(item), len(doc)
@@ -117,7 +125,8 @@ def passage(path: list[tuple[str, int, int]], least: int, marks: list[bool]) ->
     """Longest stretch of an alignment that counts: words, first and last document position.
 
     It has ``least`` item words or more and one edit in six at most, and keeps most of the item's words
-    that set it apart (``marks`` by item position): items written after one pattern share its other words.
+    that set it apart (``marks`` by item position), if it has any: items written after one pattern share its
+    other words.
     """
     best = None
     n = len(path)
@@ -132,7 +141,7 @@ def passage(path: list[tuple[str, int, int]], least: int, marks: list[bool]) ->
                 words += 1
                 own += marks[at]
                 kept += marks[at] and kind == "="
-            if kind == "=" and words >= least and edits * 6 <= words + 1 and kept and kept * 2 > own and (best is None or words > best[0]):
+            if kind == "=" and words >= least and edits * 6 <= words + 1 and (not own or kept * 2 > own) and (best is None or words > best[0]):
                 best = (words, path[a][2], path[b][2])
         if best and best[0] >= n - a:
             break
@@ -140,9 +149,9 @@ def passage(path: list[tuple[str, int, int]], least: int, marks: list[bool]) ->
 
 
 class Index:
-    """n-grams of the sentences of a block of items."""
+    """n-grams of the sentences of a block of items; ``common`` words do not set an item apart."""
 
-    def __init__(self, sentences: list[tuple[str, int, str]]):
+    def __init__(self, sentences: list[tuple[str, int, str]], common: frozenset[str]):
         self.items: dict[str, list[str]] = {}
         self.grams: dict[str, list[tuple[str, int]]] = defaultdict(list)
         last: dict[str, int] = {}
@@ -152,13 +161,7 @@ class Index:
                 words.append("\x01")  # a sentence between was left out: nothing runs across
             words += sentence.split(" ")
             last[item] = n
-        spread_over: dict[str, set[str]] = defaultdict(set)
-        for item, words in self.items.items():
-            for w in words:
-                spread_over[w].add(item)
-        # words that set an item apart: in 1 % of the items at most (or three)
-        few = max(3, len(self.items) // 100)
-        self.marks = {item: [w != "\x01" and len(spread_over[w]) <= few for w in words] for item, words in self.items.items()}
+        self.marks = {item: [w != "\x01" and w not in common for w in words] for item, words in self.items.items()}
         for item, words in self.items.items():
             for k in range(len(words) - GRAM + 1):
                 gram = words[k : k + GRAM]
@@ -217,7 +220,7 @@ class Index:
         there = set(doc[low:high])
         for shift, _ in Counter((j - k) // 8 for j, k in window).most_common():
             a, b = max(0, low - 8 * shift - 40), min(len(words), high - 8 * shift + 40)
-            if sum(w in there for w in words[a:b]) < needed or not any(m and w in there for w, m in zip(words[a:b], marks[a:b], strict=True)):
+            if sum(w in there for w in words[a:b]) < needed:
                 continue
             found = passage(align(words[a:b], doc[low:high]), least, marks[a:b]) if b > a else None
             if found and (best is None or found[0] > best[2]):
@@ -249,13 +252,14 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = 14, shared_b
     total = sentences.agg(F.coalesce(F.sum(F.size(F.split("sentence", " "))), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_WORDS))
     texts = spread(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").where(F.col("text").isNotNull()))
+    common = spark.sparkContext.broadcast(common_words(sentences))
     parts = []
     for block in range(blocks):
         chosen = sentences.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast([tuple(r) for r in chosen.collect()])  # BLOCK_WORDS words or so
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = Index(shared.value)
+        def scan(batches: Iterator[pd.DataFrame], shared=shared, common=common) -> Iterator[pd.DataFrame]:
+            index = Index(shared.value, common.value)
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):

@@ -1,5 +1,6 @@
 import random
 
+from tensorloom.llm import leakage
 from tensorloom.llm.leakage import find_leaks, plain_words, remove_leaks
 
 RNG = random.Random(5)
@@ -89,3 +90,22 @@ def test_every_sixth_word_edited(spark):
         added = [x for k, w in enumerate(part) for x in ([w, "also"] if k % 6 == 5 and k + 1 < n else [w])]
         docs = [(i, "before it " + " ".join(d) + " after it") for i, d in enumerate((changed, dropped, added))]
         assert leaks(spark, docs) == [(0, 7), (1, 7), (2, 7)]
+
+
+def test_edited_passages_of_repeated_items(spark):
+    words = ITEMS[2][1].rstrip(".").split()
+    doc = " ".join(w if k % 7 != 6 else "changed" for k, w in enumerate(words[:30]))
+    repeats = [(20 + i, ITEMS[2][1]) for i in range(3)]
+    near = [(20 + i, f"{ITEMS[2][1][:-1]} item{i}.") for i in range(3)]
+    for more in (repeats, near):
+        assert leaks(spark, [(1, doc)], ITEMS + more) == [(1, i) for i in (2, 20, 21, 22)]
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = [f"{a}{b}" for a in WORDS[:12] for b in WORDS[12:24]]
+    items = [(i, " ".join(rng.choices(vocabulary, k=40))) for i in range(30)]
+    docs = [(i, " ".join(w if k % 7 != 6 else rng.choice(vocabulary) for k, w in enumerate(t.split()))) for i, t in items]
+    whole = leaks(spark, docs, items)
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 200)
+    assert leaks(spark, docs, items) == whole and len(whole) >= 30
