@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tensorloom.llm.language import document_languages, document_segments, fit_profiles, label_faults
 from tensorloom.llm.leakage import find_leaks, remove_leaks
 from tensorloom.llm.mixing import mix
-from tensorloom.llm.overlap import near_pairs
+from tensorloom.llm.overlap import linked_rows, near_pairs
 from tensorloom.llm.packing import fill_report, pack
 from tensorloom.llm.pairs import find_defects, main_defect
 from tensorloom.operators.orphans import image_of
@@ -62,19 +62,18 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     return fill_report(_packed(spark, sf))
 
 
-def _split_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    sides = [table(spark, sf, m).select("row_id", "user", "assistant", image_of("emb").alias("image")) for m in ("val_manifest", "train_manifest")]
-    return near_pairs(*sides)
+def _sides(spark: SparkSession, sf: str) -> list[DataFrame]:
+    return [table(spark, sf, m).select("row_id", "user", "assistant", image_of("emb").alias("image")) for m in ("val_manifest", "train_manifest")]
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of one validation and one training row with the same question and answer, the smaller id first."""
-    return _split_pairs(spark, sf).select(F.least("eval_id", "train_id").alias("row_id_a"), F.greatest("eval_id", "train_id").alias("row_id_b"))
+    return near_pairs(*_sides(spark, sf)).select(F.least("eval_id", "train_id").alias("row_id_a"), F.greatest("eval_id", "train_id").alias("row_id_b"))
 
 
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of each evaluation split and subset, and how many of them are also in the training split."""
-    hits = _split_pairs(spark, sf).groupBy(F.col("eval_id").alias("row_id")).agg(F.count("*").alias("n"))
+    hits = linked_rows(*_sides(spark, sf)).select("row_id", F.col("n_links").alias("n"))
     rows = table(spark, sf, "val_manifest").select("row_id", "eval_split", "subset").join(hits, "row_id", "left")
     return rows.groupBy("eval_split", "subset").agg(F.count("*").alias("n_rows"), F.count("n").alias("n_leaked"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
 
