@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -241,6 +242,16 @@ def _windows(places: list[tuple[int, int]], width: int = 150) -> list[list[tuple
 
 FOUND = "doc_id string, item_id string, n_words int, first_char int, last_char int"
 
+_indexes: dict[str, Index] = {}
+
+
+def _index(token: str, sentences, common) -> Index:
+    """Index of a broadcast block, built once per Python process."""
+    if token not in _indexes:
+        _indexes.clear()  # one block at a time
+        _indexes[token] = Index(sentences.value, common.value)
+    return _indexes[token]
+
 
 def find_leaks(documents: DataFrame, items: DataFrame, least: int = 14, shared_by: int = 5) -> DataFrame:
     """Documents (``doc_id, text``) with a passage of an item (``item_id, text``).
@@ -258,8 +269,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = 14, shared_b
         chosen = sentences.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast([tuple(r) for r in chosen.collect()])  # BLOCK_WORDS words or so
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared, common=common) -> Iterator[pd.DataFrame]:
-            index = Index(shared.value, common.value)
+        def scan(batches: Iterator[pd.DataFrame], shared=shared, common=common, token=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            index = _index(token, shared, common)
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):

@@ -4,8 +4,8 @@ Documents carry a source label or none. A classifier fitted on a bounded sample
 predicts the source posteriors of the others; a labelled document belongs to its source alone. Every
 document gets a non-negative rate, at most the repeats its source allows, so that the expected tokens
 of each source match its share of the total. The rates are fitted by projected gradient steps over the
-distributed table; only one vector with an entry per target travels in each step. Labelled documents
-of one source have the same rate in every step and are summed up beforehand.
+distributed table; only one vector with an entry per target travels in each step. Documents of one
+source, and unlabelled ones of one membership, have the same rate in every step and are summed up beforehand.
 
 Rates become whole repeats by error diffusion within buckets of a source, so the reached token totals
 follow the fitted ones closely at any size.
@@ -31,7 +31,8 @@ TOKENIZERS = "/opt/tokenizers"
 #: Labelled documents the classifier is fitted on at most.
 SAMPLE = 4000
 FEATURES = 1 << 14
-MAX_STEPS = 60
+#: Gradient steps at most (the report says whether they sufficed), and parts of a membership.
+MAX_STEPS, GRAIN = 200, 64
 
 # Fixed value: the published split pattern of the 50k byte-level vocabulary.
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -99,6 +100,12 @@ class SourceClassifier:
         return p / p.sum() if p.any() else p
 
 
+def membership(p: np.ndarray) -> list[float]:
+    """A posterior in ``GRAIN`` parts, so that documents of one membership can be summed up before the fit."""
+    q = np.floor(p * GRAIN + 0.5)
+    return (q / q.sum()).tolist() if q.any() else p.tolist()
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max())
     return e / e.sum()
@@ -125,9 +132,11 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
     ``documents``: ``doc_id, text, source``; ``targets``: ``source, target_share, max_repeats``.
     Returns ``(doc_id, source, labelled, tokens, rate, repeats)`` for the documents of the mix and, per
     target, ``source, target_share, max_repeats, n_documents, tokens_available, fitted_share,
-    tokens_mixed, reached_share, repeats_most``: ``fitted_share`` is what the rates are expected to
-    give by the memberships, ``reached_share`` counts the repeats, an unlabelled document for its
-    likeliest source.
+    tokens_mixed, reached_share, assigned_share, repeats_most, residual, converged``: ``fitted_share`` is what
+    the rates are expected to give by the memberships, ``reached_share`` what the whole repeats give by
+    them, ``assigned_share`` (with ``n_documents`` and the token counts) books an unlabelled document whole to
+    its likeliest source. ``residual`` is the worst relative distance of the fitted tokens of a target from
+    its goal; ``converged`` says whether it is within ``tolerance``.
 
     The mix is as large as the targets allow. Defined cases: a target without documents cannot be
     reached: it is reported with share 0 and the others keep their proportions; documents of other
@@ -149,7 +158,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         for batch in batches:
-            p = [m.posterior(t).tolist() if s is None and m.classes else None for s, t in zip(batch["source"], batch["text"], strict=True)]
+            p = [membership(m.posterior(t)) if s is None and m.classes else None for s, t in zip(batch["source"], batch["text"], strict=True)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": count_tokens(batch["text"], tokenizers), "posterior": p})
 
     known = F.col("source").isNull() | F.col("source").isin(classes) if classes else F.lit(False)
@@ -159,7 +168,8 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
     hard = np.zeros(len(classes))
     for r in read_docs.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("t")).collect():
         hard[classes.index(r["source"])] = r["t"]
-    soft = read_docs.where("source is null").select("doc_id", "tokens", "posterior")
+    # equal memberships have equal rates: one row each
+    soft = materialize(read_docs.where("source is null").groupBy("posterior").agg(F.sum("tokens").alias("tokens")), "memberships")
     dims = len(classes)
 
     def totals(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +188,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
         r, cap = _rates(np.eye(dims), most, steps)
         return parts[0] + hard * r, parts[1] + hard * cap, parts[2] + hard
 
-    steps = np.zeros((1, dims))
+    steps, residual = np.zeros((1, dims)), 0.0
     goal = np.zeros(dims)
     if dims:
         _, capacity, mass = totals(steps)
@@ -189,18 +199,17 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
         # first rates: the goal over the capacity, as a step up from nothing
         start = np.where(capacity > 0, goal / np.maximum(capacity, 1e-9), 0) * most
         steps = -start[None, :]
-        best, best_steps, reached, idle = np.inf, steps, goal, 0
+        best, best_steps, reached = np.inf, steps, goal
         for _ in range(MAX_STEPS):
             now, _, _ = totals(steps)
             error = now - goal
             worst = float(np.max(np.abs(error[reachable]) / np.maximum(goal[reachable], 1))) if reachable.any() else 0.0
-            idle = 0 if worst < 0.99 * best else idle + 1
             if worst < best:
                 best, best_steps, reached = worst, steps, now
-            if worst <= tolerance or idle >= 5:
+            if worst <= tolerance:
                 break
             steps = np.vstack([steps, np.where(mass > 0, error / np.maximum(mass, 1e-9), 0)])
-        steps = best_steps
+        steps, residual = best_steps, best
     fitted = reached if dims else goal
 
     # rates, then whole repeats by error diffusion in buckets of a source
@@ -218,9 +227,9 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
                     p[k] = post
             r, _ = _rates(p, most, steps)
             own = p.argmax(axis=1) if len(batch) else []
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": [names[k] for k in own], "labelled": labelled, "tokens": batch["tokens"], "rate": r})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": [names[k] for k in own], "labelled": labelled, "tokens": batch["tokens"], "posterior": batch["posterior"], "rate": r})
 
-    rated = read_docs.mapInPandas(assign, "doc_id string, source string, labelled boolean, tokens bigint, rate double")
+    rated = read_docs.mapInPandas(assign, "doc_id string, source string, labelled boolean, tokens bigint, posterior array<double>, rate double")
     buckets = F.lit(max(1, counts.get(None, 0) // 5000))
     for c in classes:
         buckets = F.when((F.col("source") == c) & F.col("labelled"), F.lit(max(1, counts.get(c, 0) // 5000))).otherwise(buckets)
@@ -238,20 +247,30 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
             owed -= n * tokens
             repeats.append(n)
         group["repeats"] = np.array(repeats, dtype=np.int64)
-        return group[["doc_id", "source", "labelled", "tokens", "rate", "repeats"]]
+        return group[["doc_id", "source", "labelled", "tokens", "posterior", "rate", "repeats"]]
 
-    chosen = materialize(rated.groupBy("source", "labelled", "bucket").applyInPandas(diffuse, "doc_id string, source string, labelled boolean, tokens bigint, rate double, repeats bigint"), "mix")
+    chosen = materialize(rated.groupBy("source", "labelled", "bucket").applyInPandas(diffuse, "doc_id string, source string, labelled boolean, tokens bigint, posterior array<double>, rate double, repeats bigint"), "mix")
     used = chosen.groupBy("source").agg(
         F.count("*").alias("n_documents"), F.sum("tokens").alias("tokens_available"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens_mixed"),
         F.max("repeats").alias("repeats_most"),
     )
+    # tokens of the mix by membership: labelled documents whole, others in parts
+    mixed = F.col("tokens") * F.col("repeats")
+    whole_tokens = chosen.where("labelled").select("source", mixed.cast("double").alias("t"))
+    parts = chosen.where("not labelled and repeats > 0").select(F.posexplode("posterior").alias("k", "p"), mixed.alias("t")).where("p > 0")
+    names_of = F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<string>")
+    shared = parts.select(F.get(names_of, "k").alias("source"), (F.col("p") * F.col("t")).alias("t"))
+    by_membership = whole_tokens.unionByName(shared).groupBy("source").agg(F.sum("t").alias("tokens_by_membership"))
+    used = used.join(by_membership, "source", "full")
     rows = [(r["source"], float(r["share"]), int(r["most"]), float(g)) for r, g in zip(wanted, fitted / fitted.sum() if fitted.sum() else fitted, strict=True)]
     plan = spark.createDataFrame(rows, "source string, target_share double, max_repeats bigint, fitted_share double")
     whole = used.agg(F.sum("tokens_mixed").alias("_all"))  # one row
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     report = with_scalars(plan.join(used, "source", "left"), whole).select(
         "source", "target_share", "max_repeats", zero("n_documents"), zero("tokens_available"), "fitted_share", zero("tokens_mixed"),
-        F.coalesce(F.col("tokens_mixed") / F.nullif(F.col("_all"), F.lit(0)), F.lit(0.0)).alias("reached_share"), zero("repeats_most"),
+        F.coalesce(F.col("tokens_by_membership") / F.nullif(F.col("_all"), F.lit(0)), F.lit(0.0)).alias("reached_share"),
+        F.coalesce(F.col("tokens_mixed") / F.nullif(F.col("_all"), F.lit(0)), F.lit(0.0)).alias("assigned_share"), zero("repeats_most"),
+        F.lit(float(residual)).alias("residual"), F.lit(bool(residual <= tolerance)).alias("converged"),
     )
     used_rows = chosen.where("repeats > 0").withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
     return used_rows, report

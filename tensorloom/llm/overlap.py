@@ -40,6 +40,8 @@ from tensorloom.runtime import materialize, spread, union_all
 INSTRUCTION_SHARE, INSTRUCTION_LEAST, INSTRUCTION_WORDS = 0.01, 5, 8
 #: Words of both texts from which the image does not matter, and how many more a row may have that equals one with fewer.
 FULL_WORDS, WORD_SLACK = 10, 6
+#: Edits between two forms that count as one, however long they are: bounds the windows of a long text.
+MOST_EDITS = 24
 #: Distinct evaluation forms that must show a word in place of another one, and the share of all its replacements.
 LEAST_EVIDENCE, MOSTLY = 3, 0.5
 
@@ -123,7 +125,7 @@ def edits_within(a: str, b: str, k: int) -> bool:
 
 def distance_bound(length: int) -> int:
     """Edits allowed for an evaluation form of this length."""
-    return 3 + length // 12
+    return min(MOST_EDITS, 3 + length // 12)
 
 
 def cut(length: int, parts: int) -> list[tuple[int, int]]:
@@ -265,30 +267,40 @@ def explain(a: list[str], b: list[str], names: set[str]) -> list[tuple[str, str,
 
     Dynamic programming over words in a band of three. Only mistyped function words may stand on one side alone.
     """
-    band = 3
+    band, never = 3, 1 << 20
     if abs(len(a) - len(b)) > band:
         return None
-    never = 1 << 20
-    cost = [[never] * (len(b) + 1) for _ in range(len(a) + 1)]
-    cost[0][0] = 0
-    for i in range(len(a) + 1):
-        for j in range(max(0, i - band), min(len(b), i + band) + 1):
-            if i and cost[i - 1][j] < never and a[i - 1] not in names and _loose(a[i - 1]):
-                cost[i][j] = min(cost[i][j], cost[i - 1][j] + 2)
-            if j and cost[i][j - 1] < never and b[j - 1] not in names and _loose(b[j - 1]):
-                cost[i][j] = min(cost[i][j], cost[i][j - 1] + 2)
-            if i and j and cost[i - 1][j - 1] < never:
-                cost[i][j] = min(cost[i][j], cost[i - 1][j - 1] + _change(a[i - 1], b[j - 1], names))
-    if cost[-1][-1] >= never:
+    loose = lambda w: w not in names and _loose(w)
+    # cost[i][d]: the first i words of a against the first i + d - band words of b
+    width = 2 * band + 1
+    cost = [[never] * width for _ in range(len(a) + 1)]
+    for i, row in enumerate(cost):
+        for d in range(width):
+            j = i + d - band
+            if not 0 <= j <= len(b):
+                continue
+            best = 0 if not i and not j else never
+            if i and j and cost[i - 1][d] < never:
+                best = min(best, cost[i - 1][d] + _change(a[i - 1], b[j - 1], names))
+            if i and d + 1 < width and cost[i - 1][d + 1] + 2 < best and loose(a[i - 1]):
+                best = cost[i - 1][d + 1] + 2
+            if j and d and row[d - 1] + 2 < best and loose(b[j - 1]):
+                best = row[d - 1] + 2
+            row[d] = min(best, never)
+        if min(row) >= never:
+            return None
+    i, j = len(a), len(b)
+    if cost[i][j - i + band] >= never:
         return None
     out = []
-    i, j = len(a), len(b)
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (c := _change(a[i - 1], b[j - 1], names)):
+        d = j - i + band
+        here = cost[i][d]
+        if i and j and here == cost[i - 1][d] + (c := _change(a[i - 1], b[j - 1], names)):
             i, j = i - 1, j - 1
             if c:
                 out.append((a[i], b[j], c == 1))
-        elif i and cost[i][j] == cost[i - 1][j] + 2 and a[i - 1] not in names and _loose(a[i - 1]):
+        elif i and d + 1 < width and here == cost[i - 1][d + 1] + 2 and loose(a[i - 1]):
             i -= 1
         else:
             j -= 1
@@ -369,7 +381,7 @@ def _hashed_windows(block: str) -> F.Column:
 
 def _bounded(df: DataFrame, length: str) -> DataFrame:
     """Adds ``k`` and ``parts`` for forms of this length (see ``distance_bound``)."""
-    return df.withColumn("k", F.expr(f"cast(3 + {length} div 12 as int)")).withColumn("parts", F.expr(f"least(cast({length} as int), k + 1)"))
+    return df.withColumn("k", F.expr(f"cast(least({MOST_EDITS}, 3 + {length} div 12) as int)")).withColumn("parts", F.expr(f"least(cast({length} as int), k + 1)"))
 
 
 def _meeting(classes: DataFrame, other_names: DataFrame, route_own: int, route_other: int) -> DataFrame:
@@ -466,7 +478,7 @@ def same_classes(evaluation: DataFrame, training: DataFrame) -> tuple[DataFrame,
     met = met.where(~with_image | F.col("short_a") | F.col("short_b"))
     checked = materialize(met.mapInPandas(_verify, "eval_class binary, train_class binary, changes array<struct<a:string,b:string,typo:boolean>>"), "checked")
     members = lambda side: rows.where(F.col("side") == side).select("class_id", "row_id")
-    return _accepted(checked, classes.select("form")), members("eval"), members("train")
+    return _accepted(checked, classes.select("form").distinct()), members("eval"), members("train")
 
 
 def near_pairs(evaluation: DataFrame, training: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tensorloom.runtime import materialize
 
-#: Hash buckets in which the items of one class are ranked.
-RANK_BUCKETS = 64
+#: Items of one class that are ranked in one hash bucket, and the buckets of all classes together.
+RANK_ROWS, MOST_BUCKETS = 100_000, 100_000
 
 
 def nnls(a: np.ndarray, b: np.ndarray, max_rounds: int | None = None) -> np.ndarray:
@@ -81,8 +81,11 @@ class Plan:
     containers: int
 
 
-def plan_containers(histogram: dict[int, int], capacity: int, parts: int = 4, slack: int = 2) -> Plan:
-    """Plan for ``histogram`` (class -> items), all in units of the quantum; ``capacity`` in the same unit."""
+def plan_containers(histogram: dict[int, int], capacity: int, parts: int = 4, slack: int = 2, fit: bool = True) -> Plan:
+    """Plan for ``histogram`` (class -> items), all in units of the quantum; ``capacity`` in the same unit.
+
+    ``fit=False`` leaves the least squares out and packs all items greedily, for comparison.
+    """
     left = {c: n for c, n in histogram.items() if n > 0}
     taken = dict.fromkeys(left, 0)
     intervals: list[tuple[int, int, int, int, int, int]] = []
@@ -100,7 +103,7 @@ def plan_containers(histogram: dict[int, int], capacity: int, parts: int = 4, sl
     have = float((small * np.arange(window + 1)).sum())
     share = max(0.0, 1 - 1.05 * need / have) if have else 0.0
     slots = 0
-    if share > 0 and window >= 3 and small.sum() * share >= 200:
+    if fit and share > 0:
         patterns = [p for p in combinations(window, slack) if all(small[c] > 0 for c in p)]
         if patterns:
             a = np.zeros((window + 1, len(patterns)))
@@ -157,42 +160,46 @@ def pack(items: DataFrame, capacity: int = 4096, quantum: int | None = None) ->
     items = items.drop(*made)
     quantum = quantum or max(1, capacity // 1024)
     units = capacity // quantum
-    capacity = units * quantum
     n_pieces = F.when(F.col("length") > capacity, F.ceil(F.col("length") / F.lit(capacity)).cast("int")).otherwise(F.lit(1))
     pieces = items.withColumn("n_pieces", n_pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
     size = F.when(F.col("piece") < F.col("n_pieces") - 1, F.lit(capacity)).otherwise(F.col("length") - F.lit(capacity) * (F.col("n_pieces") - 1)).cast("int")
     pieces = pieces.withColumn("piece_length", F.when(F.col("length") >= 1, size))
-    pieces = pieces.withColumn("__pack_class", F.ceil(F.col("piece_length") / F.lit(quantum)).cast("int")).withColumn("__pack_bucket", F.pmod(F.xxhash64("row_id", "piece"), F.lit(RANK_BUCKETS)).cast("int"))
+    # the last class also holds what the capacity has beyond whole quanta: such an item fills a container alone
+    last = F.least(F.ceil(F.col("piece_length") / F.lit(quantum)), F.lit(units)).cast("int")
+    pieces = pieces.withColumn("__pack_class", F.when(F.col("piece_length").isNotNull(), last))
 
     sized = pieces.where(F.col("__pack_class").isNotNull())
-    # at most (capacity / quantum) x RANK_BUCKETS rows, whatever the input
-    counts = sized.groupBy("__pack_class", "__pack_bucket").count().collect()
-    histogram: dict[int, int] = {}
-    offset: dict[tuple[int, int], int] = {}
-    for c, b, n in sorted((r["__pack_class"], r["__pack_bucket"], r["count"]) for r in counts):
-        offset[c, b] = histogram.get(c, 0)
-        histogram[c] = histogram.get(c, 0) + n
+    # one row per class, whatever the input
+    histogram = {r["__pack_class"]: r["count"] for r in sized.groupBy("__pack_class").count().collect()}
     plan = plan_containers(histogram, units)
     table = sorted((c, start, repeats, slot, per, base) for c, start, repeats, slot, per, base in plan.intervals)
     columns = np.array(table, dtype=np.int64).reshape(-1, 6)
     keys = columns[:, 0] << 40 | columns[:, 1]
-    offsets = np.zeros((units + 1, RANK_BUCKETS), dtype=np.int64)
-    for (c, b), n in offset.items():
-        offsets[c, b] = n
     spark = items.sparkSession
-    shared = spark.sparkContext.broadcast((keys, columns, offsets))  # bounded by the classes
+    shared = spark.sparkContext.broadcast((keys, columns))  # bounded by the classes
+
+    # a class is ranked in hash buckets of RANK_ROWS items or so, each from where the one before ends; beyond
+    # MOST_BUCKETS buckets they hold more
+    per_bucket = max(RANK_ROWS, -(-sum(histogram.values()) // MOST_BUCKETS))
+    buckets = F.array(*[F.lit(-(-histogram.get(c, 1) // per_bucket)) for c in range(units + 1)])
+    sized = sized.withColumn("__pack_bucket", F.pmod(F.xxhash64("row_id", "piece"), F.element_at(buckets, F.col("__pack_class") + 1)).cast("int"))
+    counted = sized.groupBy("__pack_class", "__pack_bucket").agg(F.count("*").alias("__pack_n"))
+    before = Window.partitionBy("__pack_class").orderBy("__pack_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.select("__pack_class", "__pack_bucket", F.coalesce(F.sum("__pack_n").over(before), F.lit(0)).alias("__pack_before"))
 
     @F.pandas_udf("bigint")
-    def place(c: pd.Series, bucket: pd.Series, row: pd.Series) -> pd.Series:
-        keys, columns, offsets = shared.value
+    def place(c: pd.Series, before: pd.Series, row: pd.Series) -> pd.Series:
+        keys, columns = shared.value
         c = c.to_numpy(dtype=np.int64)
-        rank = offsets[c, bucket.to_numpy(dtype=np.int64)] + row.to_numpy(dtype=np.int64) - 1
+        rank = before.to_numpy(dtype=np.int64) + row.to_numpy(dtype=np.int64) - 1
         at = columns[np.searchsorted(keys, c << 40 | rank, side="right") - 1]
         return pd.Series(at[:, 5] + (at[:, 3] + (rank - at[:, 1]) % at[:, 2]) // at[:, 4])
 
-    inner = ["__pack_class", "__pack_bucket", "__pack_row"]
+    inner = ["__pack_class", "__pack_bucket", "__pack_before", "__pack_row"]
     order = Window.partitionBy("__pack_class", "__pack_bucket").orderBy("row_id", "piece", "length")
-    placed = sized.withColumn("__pack_row", F.row_number().over(order)).withColumn("container", place(*inner)).drop(*inner)
+    # at most MOST_BUCKETS rows and one per class
+    ranked = sized.join(F.broadcast(offsets), ["__pack_class", "__pack_bucket"]).withColumn("__pack_row", F.row_number().over(order))
+    placed = ranked.withColumn("container", place("__pack_class", "__pack_before", "__pack_row")).drop(*inner)
     unsized = pieces.where(F.col("__pack_class").isNull()).drop(*inner).withColumn("container", F.lit(None).cast("long"))
     return placed.unionByName(unsized)
 

@@ -12,7 +12,7 @@ from tensorloom.llm.overlap import linked_rows, near_pairs
 from tensorloom.llm.packing import fill_report, pack
 from tensorloom.llm.pairs import find_defects, main_defect
 from tensorloom.operators.orphans import image_of
-from tensorloom.runtime import materialize, skewless_join
+from tensorloom.runtime import materialize, skewless_join, with_scalars
 from tensorloom.sources.tables import table
 
 MANIFESTS = ("train_manifest", "val_manifest")
@@ -48,8 +48,21 @@ def _packed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Train rows with a tensor record that are longer than a sequence, the only ones the packing splits."""
-    return _packed(spark, sf).where("piece = 0 and n_pieces > 1 and not text_only").select("row_id")
+    """Train rows with a tensor record that the packing puts into more than one sequence: those longer than one."""
+    placed = _packed(spark, sf).where("container is not null and not text_only")
+    return placed.groupBy("row_id").agg(F.min("container").alias("first"), F.max("container").alias("last")).where("first < last").select("row_id")
+
+
+def p3_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What any right packing has: every row with a length placed once, in full, whole unless too long, no sequence overfull."""
+    placed = materialize(_packed(spark, sf).where("container is not null"), "placed")
+    rows = placed.groupBy("row_id").agg(F.max("length").alias("length"), F.sum("piece_length").alias("put"), F.count("*").alias("n"), F.countDistinct("container").alias("containers"))
+    fill = placed.groupBy("container").agg(F.sum("piece_length").alias("used")).agg(F.count_if(F.col("used") > 4096).alias("n_overfull"))
+    totals = rows.agg(
+        F.count("*").alias("n_rows"), F.sum("put").alias("total"), F.sum("n").alias("n_pieces"), F.count_if(F.col("put") != F.col("length")).alias("n_incomplete"),
+        F.count_if((F.col("length") <= 4096) & (F.col("containers") > 1)).alias("n_split_whole"), F.count_if((F.col("length") > 4096) & (F.col("containers") != F.ceil(F.col("length") / 4096))).alias("n_wrong_cut"),
+    )
+    return with_scalars(totals, fill)
 
 
 def p3_packed(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,6 +124,14 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
 
 
+def p7_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every target: whether its documents are repeated too often, and whether its share of the reachable targets is met within a percentage point."""
+    report = mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+    reachable = report.agg(F.sum(F.when(F.col("n_documents") > 0, F.col("target_share"))).alias("_all"))
+    off = F.abs(F.col("reached_share") - F.when(F.col("n_documents") > 0, F.col("target_share") / F.col("_all")).otherwise(0)) > 0.01
+    return with_scalars(report, reachable).select("source", "target_share", "max_repeats", (F.col("n_documents") > 0).alias("has_documents"), (F.col("repeats_most") > F.col("max_repeats")).alias("over_repeated"), off.alias("off_target"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Languages of the documents whose label is missing, wrong or names only one of several languages."""
     documents = table(spark, sf, "documents")
@@ -130,7 +151,7 @@ def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
     return document_segments(documents, fit_profiles(documents))
 
 
-QUERIES = {"p2_found": p2_found, "p2_defects": p2_defects, "p3_found": p3_found, "p3_packed": p3_packed, "p3_report": p3_report, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report, "p6_clean": p6_clean, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_languages": p8_languages, "p8_segments": p8_segments}
+QUERIES = {"p2_found": p2_found, "p2_defects": p2_defects, "p3_found": p3_found, "p3_invariants": p3_invariants, "p3_packed": p3_packed, "p3_report": p3_report, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report, "p6_clean": p6_clean, "p7_mix": p7_mix, "p7_report": p7_report, "p7_bounds": p7_bounds, "p8_found": p8_found, "p8_languages": p8_languages, "p8_segments": p8_segments}
 
 _IMG = "regexp_extract(lower({}), '(?:^|[^0-9a-f])([0-9a-f]{{20}})(?:[^0-9a-f]|$)', 1)"
 
@@ -139,4 +160,14 @@ ORACLE = {
 WITH images AS (SELECT {_IMG.format('"key"')} AS image, max(n_vis) AS n_vis FROM emb_shards GROUP BY 1)
 SELECT t.row_id FROM train_manifest t JOIN images i ON i.image = {_IMG.format("t.emb")}
 WHERE i.image <> '' AND i.n_vis + coalesce(length(t."user"), 0) + coalesce(length(t.assistant), 0) + 2 > 4096""",
+    "p7_bounds": """
+SELECT lower(trim(source)) AS source, sum(coalesce(target_share, 0)) AS target_share, max(coalesce(max_repeats, 0)) AS max_repeats,
+  lower(trim(source)) IN (SELECT lower(trim(source)) FROM documents WHERE source IS NOT NULL AND text <> '') AS has_documents, false AS over_repeated, false AS off_target
+FROM mix_targets GROUP BY 1""",
+    "p3_invariants": f"""
+WITH images AS (SELECT {_IMG.format('"key"')} AS image, max(n_vis) AS n_vis FROM emb_shards GROUP BY 1),
+rows AS (SELECT CASE WHEN t.emb IS NULL THEN 0 ELSE i.n_vis END + coalesce(length(t."user"), 0) + coalesce(length(t.assistant), 0) + 2 AS length
+  FROM train_manifest t LEFT JOIN images i ON i.image = {_IMG.format("t.emb")} AND i.image <> '' WHERE t.emb IS NULL OR i.n_vis IS NOT NULL)
+SELECT count(*) AS n_rows, CAST(sum(length) AS BIGINT) AS total, CAST(sum(ceil(length / 4096.0)) AS BIGINT) AS n_pieces, CAST(0 AS BIGINT) AS n_incomplete,
+  CAST(0 AS BIGINT) AS n_split_whole, CAST(0 AS BIGINT) AS n_wrong_cut, CAST(0 AS BIGINT) AS n_overfull FROM rows""",
 }

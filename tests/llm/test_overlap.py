@@ -1,40 +1,64 @@
 import random
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tensorloom.llm import overlap
-from tensorloom.llm.overlap import canonical, distance_bound, near_pairs, same, segments, windows
+from tensorloom.llm.overlap import Instructions, canonical, distance_bound, edits_within, explain, near_pairs, segments, windows
 
 SCHEMA = "row_id bigint, user string, assistant string, image string"
 BASE = ("You see page 31 of Nevoten. Which value is shown for Torelin in the footer? Keep it short.", "Torelin shows 5.25 in the footer, right below the search box.")
+#: Other rows of the corpus: they show what an instruction is, and that two words stand for each other.
+OTHERS = [
+    (1000 + i, f"You see page {100 + i} of Ravudash. Which value is shown for Zelavik in the header? {style}", f"It shows {200 + i} there, says the header.", "z")
+    for i, style in enumerate(("Keep it short.", "One line only.") * 8)
+]
+REWORDED = [(2000 + i, q.replace("value", "figure"), a, e) for i, (_, q, a, e) in enumerate(OTHERS[:6])]
 
 
 def found(spark, val, train):
     got = near_pairs(spark.createDataFrame(val, SCHEMA), spark.createDataFrame(train, SCHEMA))
-    return sorted((r["eval_id"], r["train_id"]) for r in got.collect())
+    return sorted((r["eval_id"], r["train_id"]) for r in got.collect() if r["eval_id"] < 1000)
 
 
-@pytest.mark.parametrize(
-    ("user", "assistant"),
-    [
+def test_same(spark):
+    cases = [
         BASE, (BASE[0].upper(), BASE[1]), ("Hello, " + BASE[0].replace(" Keep it short.", ""), BASE[1]), ("Keep it short. " + BASE[0].replace(" Keep it short.", ""), BASE[1].replace("the ", "")),
-        (BASE[0].replace("value", "figure").replace("shown", "shwon"), f"<p>{BASE[1]}</p>"), (BASE[0].replace("Keep it short.", "One line only."), BASE[1].rstrip(".")), (BASE[0].replace("page", "srceen"), BASE[1] + "​"),
-    ],
-)
-def test_same(spark, user, assistant):
-    assert found(spark, [(1, user, assistant, "a")], [(2, *BASE, "b")]) == [(1, 2)]
+        (BASE[0].replace("value", "figure").replace("shown", "shwon"), f"<p>{BASE[1]}</p>"), (BASE[0].replace("Keep it short.", "One line only."), BASE[1].rstrip(".")), (BASE[0].replace("footer", "foter"), BASE[1] + "​"),
+        (BASE[0].replace("Keep it short.", "Keep it shrot"), BASE[1]),
+    ]
+    val = [(i, *case, "a") for i, case in enumerate(cases)]
+    assert found(spark, [*val, *REWORDED], [(2, *BASE, "b"), *OTHERS]) == [(i, 2) for i in range(len(cases))]
 
 
-@pytest.mark.parametrize(("old", "new"), [("31", "32"), ("5.25", "5.26"), ("Torelin", "Ravudash"), ("footer", "top bar"), ("search", "seat"), ("below", "beside")])
-def test_different(spark, old, new):
-    assert found(spark, [(1, BASE[0].replace(old, new), BASE[1].replace(old, new), "a")], [(2, *BASE, "a")]) == []
+def test_different(spark):
+    changes = [("31", "32"), ("5.25", "5.26"), ("Torelin", "Ravudash"), ("footer", "top bar"), ("search", "seat"), ("below", "beside")]
+    val = [(i, BASE[0].replace(old, new), BASE[1].replace(old, new), "a") for i, (old, new) in enumerate(changes)]
+    assert found(spark, val, [(2, *BASE, "a"), *OTHERS]) == []
+
+
+def test_other_words_are_other_facts(spark):
+    cases = [
+        ("How do you import the marked rows of the sheet named Ravudash today?", "How do you export the marked rows of the sheet named Ravudash today?"),
+        ("Does this view include the totals column of the sheet named Ravudash?", "Does this view exclude the totals column of the sheet named Ravudash?"),
+        ("Where is the black button of the panel named Ravudash placed today?", "Where is the block button of the panel named Ravudash placed today?"),
+        ("Which state is shown in the panel of the sheet named Ravudash?", "Which name is shown in the panel of the sheet named Ravudash?"),
+        ("Is the third card of Ravudash locked at the moment or not?", "Is the third card of Ravudash unlocked at the moment or not?"),
+    ]
+    answer = lambda i: f"You find it on page {5 + i} of the manual."
+    val = [(i, one, answer(i), "a") for i, (one, _) in enumerate(cases)]
+    train = [(100 + i, other, answer(i), "a") for i, (_, other) in enumerate(cases)] + [(200 + i, one, answer(i), "b") for i, (one, _) in enumerate(cases)]
+    assert found(spark, val, [*train, *OTHERS]) == [(i, 200 + i) for i in range(len(cases))]
 
 
 def test_short_pairs_need_the_image(spark):
     train = [(10, "Is it on?", "Yes", "a"), (11, "Is it on?", "Yes", "b"), (12, "Is it on?", "Yes", None), (13, "Is it on?", "No", "a")]
     assert found(spark, [(1, "is it on", "Yes.", "a"), (2, "Is it on?", "Yes", None)], train) == [(1, 10)]
+    # an article more makes ten words: the image still counts
+    nine, ten = ("Which red lamp of Ravudash is lit?", "Lamp 7."), ("Which red lamp of the Ravudash is lit?", "Lamp 7.")
+    assert found(spark, [(1, *nine, "a")], [(10, *ten, "a"), (11, *ten, "b"), (12, *ten, None)]) == [(1, 10)]
+    assert found(spark, [(1, *ten, "a")], [(10, *nine, "a"), (11, *nine, "b"), (12, *ten, "c")]) == [(1, 10), (1, 12)]
 
 
 def test_defined_cases(spark):
@@ -44,6 +68,8 @@ def test_defined_cases(spark):
     assert len(found(spark, copies, [(10 + r[0], *r[1:]) for r in copies])) == 25
     long = ("Read this. " + "The seat map of Nevoten is at 31. " * 3000, "Done with 7 of them.")
     assert found(spark, [(1, *long, None)], [(2, long[0].replace("seat", "saet", 1), long[1], None)]) == [(1, 2)]
+    linked = overlap.linked_rows(spark.createDataFrame(copies, SCHEMA), spark.createDataFrame(copies, SCHEMA)).collect()
+    assert len(linked) == 5 and {r["n_links"] for r in linked} == {5} and len({r["class_id"] for r in linked}) == 1
 
 
 @settings(max_examples=200, deadline=None)
@@ -64,36 +90,86 @@ def test_segments_lose_nothing(text, seed):
     assert set(segments(text)) & set(windows("".join(other), len(text)))
 
 
+def brute(val, train):
+    """All pairs compared letter by letter with full dynamic programming; words looked up one by one."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    none = Instructions([])
+    form = {r[0]: " ".join([*canonical(r[1], none)[0], "|", *canonical(r[2])[0]]) for r in val + train}
+    names = {r[0]: {*overlap.names_of(r[1]), *overlap.names_of(r[2])} for r in val + train}
+    count = {}
+    for f in set(form.values()):
+        for w in set(f.split()):
+            count[w] = count.get(w, 0) + 1
+    fine = lambda a, b, typo: typo and min(count[a], count[b]) <= max(2, max(count[a], count[b]) / 20)
+    want = []
+    for v in val:
+        for t in train:
+            a, b = form[v[0]], form[t[0]]
+            if [w for w in a.split() if w[0].isdigit()] == [w for w in b.split() if w[0].isdigit()] and distance(a, b) <= distance_bound(len(a)):
+                changes = explain(a.split(), b.split(), names[v[0]] | names[t[0]])
+                if changes is not None and all(fine(*c) for c in changes):
+                    want.append((v[0], t[0]))
+    return sorted(want)
+
+
+def mistyped(rng, t, n):
+    """Letters dropped, doubled or swapped in words of small letters."""
+    words = t.split(" ")
+    for _ in range(n):
+        at = rng.randrange(len(words))
+        w = words[at]
+        if w.isalpha() and w.islower() and len(w) > 4:
+            k = rng.randint(1, len(w) - 2)
+            words[at] = rng.choice((w[:k] + w[k + 1 :], w[:k] + w[k] + w[k:], w[:k] + w[k + 1] + w[k] + w[k + 2 :]))
+    return " ".join(words)
+
+
 def test_join_equals_brute_force(spark):
     rng = random.Random(4)
     words = "alpha bravo candle delta echo foxtrot garden hotel india jungle kilo lemon motor november orange".split()
     names = [f"{a}{b}" for a in ("Nev", "Tor", "Zel", "Bri") for b in ("oten", "elin", "avik", "udash", "imint")]
     base = [" ".join(rng.choices(words, k=12)) + f" {rng.randint(1, 4)} for {rng.choice(names)} and {rng.choice(names)}" for _ in range(60)]
-
-    def dirty(t):
-        chars = list(t)
-        for _ in range(rng.randint(0, 3)):
-            at = rng.randrange(len(chars) // 2)  # names, at the end, are not mistyped
-            if chars[at].isalpha():
-                chars[at] = rng.choice("xyz")
-        return "".join(chars)
-
+    dirty = lambda t: mistyped(rng, t, rng.randint(0, 3))
     val = [(i, rng.choice(base), dirty(rng.choice(base)), "a") for i in range(40)]
     train = [(100 + i, rng.choice(base), dirty(rng.choice(base)), "b") for i in range(80)] + [(500 + r[0], dirty(r[1]), dirty(r[2]), "c") for r in val]
-    form = {r[0]: (canonical(r[1], True)[0], canonical(r[2], False)[0]) for r in val + train}
-    digits = lambda f: [[w for w in part if w[0].isdigit()] for part in f]
-    want = []
-    for v in val:
-        k = distance_bound(len(" ".join(form[v[0]][0]) + " | " + " ".join(form[v[0]][1])))
-        for t in train:
-            a, b = form[v[0]], form[t[0]]
-            if digits(a) == digits(b) and same(a[0], b[0], k) and same(a[1], b[1], k):
-                want.append((v[0], t[0]))
-    assert found(spark, val, train) == sorted(want) and len(want) >= 40
+    train += [(700 + r[0], r[1].lower(), r[2].upper(), "d") for r in val]  # names not to be seen
+    want = brute(val, train)
+    assert found(spark, val, train) == want and len(want) >= 60
+
+
+def test_forms_without_numbers_and_names(spark):
+    rng = random.Random(8)
+    words = "walnut basket ladder mirror pepper saddle tunnel velvet window yellow anchor butter".split()
+    base = [" ".join(rng.sample(words, 9)) for _ in range(25)]
+    val = [(i, t, "so it stays there for good", "a") for i, t in enumerate(base)]
+    train = [(100 + i, mistyped(rng, t, 2), "so it stays there for good", "b") for i, t in enumerate(base * 2)]
+    want = brute(val, train)
+    assert found(spark, val, train) == want and len(want) >= 40
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", max_size=30), st.text("abc", max_size=30), st.integers(0, 8))
+def test_banded_distance(a, b, k):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    assert edits_within(a, b, k) == (row[-1] <= k)
 
 
 def test_close():
-    assert overlap._close("shown", "shwon") == 1 and overlap._close("offers", "oers") == 2 and overlap._close("left", "right") is None
+    close = overlap._close
+    assert close("shown", "shwon") == 1 and close("offers", "ofers") == 1 and close("left", "right") is None and close("word", "ward") is None and close("work", "eork") is None
+    assert close("black", "block") is None and close("import", "export") is None and close("uncompressed", "compressed") is None and close("screen", "screeb") is None and close("screen", "screem") == 1
 
 
 def test_several_mistyped_rare_words(spark):
@@ -104,7 +180,7 @@ def test_several_mistyped_rare_words(spark):
         assert found(spark, val, train) == [(1, 10)]
 
 
-def test_mistyped_articles_and_swaps_equal_brute_force(spark):
+def test_mistyped_articles_equal_brute_force(spark):
     answer = "It is red and stays there."
     assert found(spark, [(1, "What is the colour of the gauge needle?", answer, "a")], [(2, "What is teh colour of the gauge needle?", answer, "a")]) == [(1, 2)]
     rng = random.Random(7)
@@ -120,10 +196,21 @@ def test_mistyped_articles_and_swaps_equal_brute_force(spark):
 
     rows = lambda first, texts: [(first + i, t + "?", "It stays at 4 there.", "a") for i, t in enumerate(texts)]
     val, train = rows(0, base), rows(100, [dirty(t) for t in base * 4])
-    form = {r[0]: (canonical(r[1], True)[0], canonical(r[2], False)[0]) for r in val + train}
-    want = []
-    for v in val:
-        a = form[v[0]]
-        k = distance_bound(len(" ".join(a[0]) + " | " + " ".join(a[1])))
-        want += [(v[0], t[0]) for t in train if same(a[0], form[t[0]][0], k) and same(a[1], form[t[0]][1], k)]
-    assert found(spark, val, train) == sorted(want) and len(want) >= 12
+    want = brute(val, train)
+    assert found(spark, val, train) == want and len(want) >= 12
+
+
+def test_hashed_segments_and_windows_are_those_of_the_strings(spark):
+    rng = random.Random(3)
+    cases = []
+    for n in range(20):
+        text = "".join(rng.choices("abcdef ", k=rng.randint(1, 90)))
+        cases.append((n, text, max(1, len(text) + rng.randint(-3, 3))))
+    df = spark.createDataFrame(cases, "case long, form string, eval_length int").withColumn("key", F.lit(7).cast("long"))
+    here = {r["case"]: set(r["h"]) for r in overlap._bounded(df, "length(form)").select("case", overlap._hashed_segments("key").alias("h")).collect()}
+    there = {r["case"]: set(r["h"]) for r in overlap._bounded(df, "eval_length").select("case", overlap._hashed_windows("key").alias("h")).collect()}
+    rows = [(c, 0, 7, len(t), i, s) for c, t, _ in cases for i, s in segments(t)] + [(c, 1, 7, n, i, s) for c, t, n in cases for i, s in windows(t, n)]
+    want = {}
+    for r in spark.createDataFrame(rows, "case long, side int, k long, n int, i int, s string").select("case", "side", F.xxhash64("k", "n", "i", "s").alias("h")).collect():
+        want.setdefault((r["side"], r["case"]), set()).add(r["h"])
+    assert all(here[c] == want[0, c] and there[c] == want.get((1, c), set()) for c, _, _ in cases)

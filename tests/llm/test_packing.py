@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from tensorloom.llm import packing
 from tensorloom.llm.packing import combinations, fill_report, nnls, pack, plan_containers
 
 
@@ -80,3 +81,25 @@ def test_one_length_holds_everything(spark):
     df = spark.range(3000).selectExpr("id as row_id", "500L as length")
     used = check(df, pack(df), 4096)
     assert len(used) == 375
+
+
+def test_capacity_between_quanta(spark):
+    """Nothing that fits is split, whatever the capacity."""
+    df = spark.createDataFrame([(1, 4098), (2, 4099), (3, 4100), (4, 2000), (5, 2099)], "row_id bigint, length bigint")
+    packed = pack(df, 4099)
+    check(df, packed, 4099)
+    assert {r["row_id"] for r in packed.where("n_pieces > 1").collect()} == {3}
+
+
+def test_least_squares_at_any_size():
+    plan = plan_containers({2: 4, 3: 4, 5: 4, 10: 3}, 40)
+    assert any(i[4] == 4 for i in plan.intervals)
+    fitted, greedy = (plan_containers({c: 40 + c % 7 for c in range(1, 200)}, 1024, fit=f).containers for f in (True, False))
+    assert fitted <= greedy + 2
+
+
+def test_hot_class_is_ranked_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_ROWS", 100)
+    df = spark.range(3000).selectExpr("id as row_id", "if(id % 3 = 0, 700L, 500L) as length")
+    used = check(df, pack(df), 4096)
+    assert len(used) <= 425
