@@ -10,13 +10,14 @@ ever bringing all events of one key into one task.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.runtime import is_empty, materialize, skewless_join, union_all
+from tensorloom.runtime import hot_keys, is_empty, materialize, skewless_join, union_all
 
 KEY_PATTERN = r"(?<![0-9a-f])([0-9a-f]{20})(?![0-9a-f])"
 
@@ -38,10 +39,13 @@ class ForeignKey:
 
 
 def orphan_cascade(
-    tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey], ids: Mapping[str, str], max_rounds: int = 100
+    tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey], ids: Mapping[str, str], max_rounds: int | None = None
 ) -> DataFrame:
     """All orphaned rows of a foreign-key graph.
 
+    The cascade runs until a round finds nothing new. ``max_rounds`` is a guard for graphs that should be
+    shallow: a deeper one is an error, never a partial result.
+
     Returns ``table_name, row_id, orphan ('direct' | 'inherited'), via, round`` with one row per
     orphaned record: ``via`` is the parent table of the (alphabetically first) broken reference and
     ``round`` the number of steps from the missing record.
@@ -63,9 +67,8 @@ def orphan_cascade(
         )
 
     def direct(k: ForeignKey) -> DataFrame:
-        child = node[k.child].select("row_id", F.col(f"k_{k.column}").alias("ref")).where(F.col("ref").isNotNull())
         parent = node[k.parent].select(F.col(f"k_{k.parent_column}").alias("ref")).where(F.col("ref").isNotNull()).distinct()
-        return skewless_join(child, parent, "ref", "left_anti").select(
+        return skewless_join(refs[k], parent, "ref", "left_anti", hot=hot[k]).select(
             F.lit(k.child).alias("table_name"), "row_id", F.lit("direct").alias("orphan"), F.lit(k.parent).alias("via"), F.lit(0).alias("round")
         )
 
@@ -74,9 +77,12 @@ def orphan_cascade(
 
     if not keys:
         return spark.createDataFrame([], schema)
+    # keys that hold many rows of a child are counted once, not in every round
+    refs = {k: node[k.child].select("row_id", F.col(f"k_{k.column}").alias("ref")).where(F.col("ref").isNotNull()) for k in keys}
+    hot = {k: hot_keys(refs[k], "ref") for k in keys}
     found = materialize(merged(union_all([direct(k) for k in keys])), "orphans")
     frontier, levels = found, [found]
-    for step in range(1, max_rounds + 1):
+    for step in itertools.count(1):
         fresh = []
         touched_tables = {r[0] for r in frontier.select("table_name").distinct().collect()}  # at most one row per table
         for k in keys:
@@ -89,16 +95,19 @@ def orphan_cascade(
             alive = node[k.parent].select("row_id", F.col(key).alias("ref")).where(F.col("ref").isNotNull())
             alive = alive.join(mine, "row_id", "left_anti").select("ref").distinct()
             dead = hit.select("ref").distinct().join(alive, "ref", "left_anti")
-            child = node[k.child].select("row_id", F.col(f"k_{k.column}").alias("ref")).where(F.col("ref").isNotNull())
             known = found.where(F.col("table_name") == k.child).select("row_id")
-            below = skewless_join(child, dead, "ref", "left_semi").join(known, "row_id", "left_anti")
+            below = skewless_join(refs[k], dead, "ref", "left_semi", hot=hot[k]).join(known, "row_id", "left_anti")
             fresh.append(below.select(F.lit(k.child).alias("table_name"), "row_id", F.lit("inherited").alias("orphan"), F.lit(k.parent).alias("via"), F.lit(step).alias("round")))
         if not fresh:
             break
         frontier = materialize(merged(union_all(fresh)), "orphans")
         if is_empty(frontier):
             break
+        if max_rounds is not None and step > max_rounds:
+            raise RuntimeError(f"orphans below orphans after {max_rounds} rounds")
         levels.append(frontier)
+        if len(levels) > 16:
+            levels = [materialize(union_all(levels), "orphans")]
         found = union_all(levels)
     return union_all(levels)
 

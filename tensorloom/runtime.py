@@ -84,14 +84,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     """Give Python-heavy stages enough tasks when the input has fewer splits than cores.
 
-    A table of normal size has more splits than this asks for and passes unchanged, without a shuffle.
+    A table of normal size has more splits than this asks for and passes unchanged, without a shuffle. Only for
+    plans that read files and project: there the number of splits is known without running anything. A
+    plan with a shuffle is left to adaptive execution.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    files = df.inputFiles()
+    if not files or len(files) >= cores or _shuffles(df) or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(per_core * cores)
 
 
+def _shuffles(df: DataFrame) -> bool:
+    """The plan moves rows between tasks (asking for its partitions would run it)."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(node in plan for node in ("Join ", "Aggregate ", "Sort ", "Window ", "Repartition", "Limit ", "Generate "))
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
@@ -101,24 +110,29 @@ def hot_keys(df: DataFrame, key: str, share: float = 1 / 64) -> list:
 
     The count is combined map-side, so a hot key costs one row per task in the shuffle.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
-    total = df.count()
-    return [r[key] for r in counts.where(F.col("count") > F.lit(share * max(total, 64))).collect()]
+    # one pass: a rollup gives the total along with the counts, which are combined map-side
+    counts = df.select(key).rollup(key).agg(F.count("*").alias("_n"), F.grouping_id().alias("_g"))
+    rows = counts.orderBy(F.desc("_n")).limit(int(1 / share) + 3).collect()
+    total = max((r["_n"] for r in rows if r["_g"]), default=0)
+    return [r[key] for r in rows if not r["_g"] and r[key] is not None and r["_n"] > share * max(total, 64)]
 
 
-def skewless_join(left: DataFrame, right: DataFrame, key: str, how: str, share: float = 1 / 64) -> DataFrame:
+def skewless_join(left: DataFrame, right: DataFrame, key: str, how: str, share: float = 1 / 64, hot: list | None = None) -> DataFrame:
     """Equi-join of a table with any key skew against a table with one row per key.
 
     Rows of hot keys meet their few right rows by broadcast (at most ``1 / share`` rows by
     construction); all others are joined by shuffle. ``how``: inner, left, left_semi or left_anti.
+    ``hot``: the hot keys, where they were counted before.
     """
-    hot = hot_keys(left, key, share)
-    if not hot:
-        return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    cold_part = left.where(~is_hot).join(right.where(~F.coalesce(F.col(key).isin(hot), F.lit(False))), key, how)
-    hot_part = left.where(is_hot).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how)
-    return cold_part.unionByName(hot_part)
+    hot = hot_keys(left, key, share) if hot is None else hot
+    known = F.col(key).isNotNull()
+    parts = [left.where(known & ~F.col(key).isin(hot)).join(right.where(~F.col(key).isin(hot)), key, how) if hot else left.where(known).join(right, key, how)]
+    if hot:
+        parts.append(left.where(F.col(key).isin(hot)).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how))
+    if how in ("left", "left_anti"):
+        # rows without key match nothing and would all meet in one task
+        parts.append(left.where(~known))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def checked_join(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None) -> DataFrame:
