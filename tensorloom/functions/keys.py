@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the form of corpus file names.
-NAME_PATTERN = r"^([a-z]+)_(\d+)\.(png|jpg)$"
+# The prefixes of corpus file names and what follows them.
+PREFIXES = ("waveui", "showui", "aitw", "miniwob", "mind2web", "guiact-web-multi")
+_REST = r"_(\d+)\.(png|jpg)$"
+
+
+def name_pattern(prefixes: Sequence[str] = PREFIXES) -> str:
+    """Pattern of corpus file names; its groups are prefix, number and extension."""
+    return "^(" + "|".join(prefixes) + ")" + _REST
 
 
 def logical_path(path: Column) -> Column:
@@ -48,14 +56,22 @@ def relative_path(url: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), url)
 
 
-def parsed_name(name: Column) -> Column:
-    """struct(prefix, idx, ext) of a corpus file name; null where the name does not match (never guessed)."""
-    return F.when(
-        name.rlike(NAME_PATTERN),
-        F.struct(
-            F.regexp_extract(name, NAME_PATTERN, 1).alias("prefix"), F.regexp_extract(name, NAME_PATTERN, 2).cast("long").alias("idx"), F.regexp_extract(name, NAME_PATTERN, 3).alias("ext")
-        ),
-    )
+def parsed_name(name: Column, prefixes: Sequence[str] = PREFIXES) -> Column:
+    """struct(prefix, idx, ext) of a corpus file name; null where the prefix is unknown or the form differs (never guessed)."""
+    pattern = name_pattern(prefixes)
+    fields = (F.regexp_extract(name, pattern, 1).alias("prefix"), F.regexp_extract(name, pattern, 2).cast("long").alias("idx"), F.regexp_extract(name, pattern, 3).alias("ext"))
+    return F.when(name.rlike(pattern), F.struct(*fields))
+
+
+def tensor_path(path: Column) -> Column:
+    """``embeddings/<name>`` of a listed path, which may lack the folder; null for entries of other folders."""
+    return F.when(path.startswith("embeddings/"), path).when(~path.contains("/"), F.concat(F.lit("embeddings/"), path))
+
+
+def shard_range(text: str, shards: int) -> tuple[int, int]:
+    """Half-open range of shards named by ``i[:j]``: a bare ``i`` means from ``i`` to the end, an empty part its own end."""
+    low, _, high = text.partition(":")
+    return int(low) if low else 0, min(int(high), shards) if high else shards
 
 
 def int_list(text: Column) -> Column:

@@ -50,3 +50,9 @@ def spliced(ids: Column, visual: Column, nv: Column) -> Column:
     """Positions 1 .. nv replaced by the visual values, row for row."""
     # by slices: a lambda would build ``visual`` anew for every position
     return F.concat(F.slice(ids, 1, 1), F.slice(visual, F.lit(1), nv), F.slice(ids, nv + 2, F.greatest(F.lit(0), F.size(ids) - nv - 1)))
+
+
+def padded_visual(values: Column, nv: Column, most: Column, width: int) -> Column:
+    """The ``nv * width`` values of a row's visual part, with zero rows up to ``most`` rows."""
+    zeros = F.array_repeat(F.lit(0.0), (F.greatest(F.lit(0), most - nv) * width).cast("int"))
+    return F.concat(F.slice(values, F.lit(1), F.greatest(F.lit(0), nv * width).cast("int")), zeros)

@@ -70,88 +70,100 @@ def running_totals(df: DataFrame, group: str, order: list[str], values: dict[str
     return joined.select(*df.columns, (F.col("_pos") + 1).alias("n_so_far"), *[(F.col(f"_b_{n}") + F.sum(f"_v_{n}").over(inside)).alias(n) for n in values])
 
 
+def next_starts(sizes: np.ndarray, cap: int) -> np.ndarray:
+    """For a batch that begins at each place, where the next one begins."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    found = np.searchsorted(total, total[:-1] + cap, side="right") - 1
+    return np.maximum(found, np.arange(1, len(sizes) + 1))
+
+
+def first_start(sizes: np.ndarray, cap: int, held: int) -> int:
+    """Where the first batch begins in a block entered with an open batch of size ``held`` (-1: none)."""
+    if held < 0 or held > cap:
+        return 0
+    return int(np.searchsorted(np.cumsum(sizes), cap - held, side="right"))
+
+
 def greedy_batches(df: DataFrame, size: str, cap: int, *order: Column | str) -> DataFrame:
     """Sequential packing in order: a new batch begins where the open one is not empty and would exceed ``cap``.
 
     Adds ``idx`` (position) and ``batch`` (0-based). An item above the cap gets a batch of its own; null
-    sizes count as 0. Batches depend on all rows before them; each partition reports where it ends for
-    every place its first own batch can begin (at most ``cap`` of them), the driver links the reports.
+    and negative sizes count as 0. Batches depend on all rows before them: each block of rows reports, for the places
+    its first own batch can begin, how many batches follow and what the last one holds. Places with one outcome
+    are one row, items without size are no such place, so there are ``cap`` of them at most. The driver links the
+    reports, a few numbers per block.
     """
-    indexed = materialize(global_index(df.withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0))), *order), "indexed")
+    sized = df.withColumn("_size", F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)))
+    indexed = materialize(global_index(sized, *order), "indexed")
     total = indexed.count()
     if not total:
         return indexed.drop("_size").withColumn("batch", F.lit(0).cast("long"))
     block = max(1, min(200_000, -(-total // max(1, indexed.sparkSession.sparkContext.defaultParallelism))))
     blocks = indexed.withColumn("_block", F.floor(F.col("idx") / block))
 
-    def fronts(sizes: np.ndarray) -> list[int]:
-        """Places where the first batch that begins in the block can begin."""
-        running, out = 0, [0]
-        for k, s in enumerate(sizes):
-            running += s
-            if running > cap:
-                break
-            out.append(k + 1)
-        return out
-
-    def run(sizes: np.ndarray, start: int) -> tuple[int, int]:
-        """Batches that begin from ``start`` on, and the size of the last one (0: none)."""
-        n, open_ = 0, 0
-        fresh = True
-        for s in sizes[start:]:
-            if fresh or open_ + s > cap:
-                n, open_, fresh = n + 1, s, False
-            else:
-                open_ += s
-        return n, open_
-
     def report(group: pd.DataFrame) -> pd.DataFrame:
         sizes = group.sort_values("idx")["_size"].to_numpy()
-        rows = []
-        for start in fronts(sizes):
-            n, open_ = run(sizes, start)
-            rows.append((int(group["_block"].iloc[0]), start, int(sizes[:start].sum()), int(sizes[start]) if start < len(sizes) else -1, n, int(open_)))
-        return pd.DataFrame(rows, columns=["block", "start", "before", "next", "n", "open"])
+        n = len(sizes)
+        after = next_starts(sizes, cap).tolist()
+        count, last = [0] * (n + 1), list(range(n + 1))
+        for k in range(n - 1, -1, -1):
+            count[k] = count[after[k]] + 1
+            last[k] = last[after[k]] if after[k] < n else k
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        number = int(group["_block"].iloc[0])
+        # -1: no open batch, or one beyond the cap
+        rows = [(number, -1, count[0], int(total[n] - total[last[0]]))]
+        for k in np.flatnonzero((sizes > 0) & (total[:-1] <= cap)):
+            outcome = (count[k], int(total[n] - total[last[k]]))
+            if len(rows) == 1 or rows[-1][2:] != outcome:
+                rows.append((number, int(total[k]), *outcome))
+        # everything fits into the open batch: it stays open
+        rows.append((number, int(total[n]), 0, int(total[n])))
+        return pd.DataFrame(rows, columns=["block", "room", "n", "open"])
 
     reports: dict[int, list] = {}
-    for r in blocks.select("_block", "idx", "_size").groupBy("_block").applyInPandas(report, "block long, start int, before long, next long, n long, open long").collect():
+    for r in blocks.select("_block", "idx", "_size").groupBy("_block").applyInPandas(report, "block long, room long, n long, open long").collect():
         reports.setdefault(r["block"], []).append(r)
-    entry, base, open_, any_open = {}, 0, 0, False
+    entry, base, held = {}, 0, -1
     for b in sorted(reports):
-        options = sorted(reports[b], key=lambda r: r["start"])
-        if not any_open:
-            pick = options[0]
+        entry[b] = (base, held)
+        rows = reports[b]
+        if held < 0 or held > cap:
+            pick = rows[0]
+        elif cap - held >= rows[-1]["room"]:
+            pick = rows[-1]
         else:
-            # the open batch takes items while they fit
-            pick = next((r for r in options if r["next"] < 0 or open_ + r["before"] + r["next"] > cap), options[-1])
-        entry[b] = (base, pick["start"])
+            # the last place that begins within the room left
+            pick = [r for r in rows[1:-1] if r["room"] <= cap - held][-1]
         base += pick["n"]
-        open_ = pick["open"] if pick["n"] else open_ + pick["before"]
-        any_open = True
+        held = pick["open"] if pick["n"] else held + pick["open"]
 
     def assign(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")
-        first, start = entry[int(group["_block"].iloc[0])]
-        batch, open_, out = first - 1, 0, []
-        for k, s in enumerate(group["_size"]):
-            if k == start or (k > start and open_ + s > cap):
-                batch, open_ = batch + 1, s
-            elif k > start:
-                open_ += s
-            out.append(batch)
-        group["batch"] = np.array(out, dtype=np.int64)
+        sizes = group["_size"].to_numpy()
+        first, held = entry[int(group["_block"].iloc[0])]
+        after = next_starts(sizes, cap)
+        begins = np.zeros(len(sizes), dtype=np.int64)
+        k = first_start(sizes, cap, held)
+        while k < len(sizes):
+            begins[k] = 1
+            k = int(after[k])
+        group["batch"] = first - 1 + np.cumsum(begins)
         return group.drop(columns=["_block", "_size"])
 
     schema = indexed.drop("_size").withColumn("batch", F.lit(0).cast("long")).schema
     return blocks.groupBy("_block").applyInPandas(assign, schema)
 
 
-def linear_scan(df: DataFrame, value: str, keep: float, *order: Column | str, group: str, name: str = "ema") -> DataFrame:
+def linear_scan(df: DataFrame, value: str | dict[str, str], keep: float, *order: Column | str, group: str, name: str = "ema") -> DataFrame:
     """Exponential moving average of each group in order: ``e = keep * e + (1 - keep) * value``, the first value as seed.
 
+    ``value`` is a column, whose average is called ``name``, or several with the names of their averages.
+
     The recurrence is linear, so a block of rows is two numbers: what it adds and how much of the entry
     state it keeps. Blocks of a group of any size run in parallel; null values leave the state as it is.
     """
+    values = {value: name} if isinstance(value, str) else dict(value)
     seen = global_index(df, group, *order, name="_gidx").withColumn("_block", F.floor(F.col("_gidx") / SCAN_ROWS))
     kind = df.schema[group].dataType.simpleString()
 
@@ -172,21 +184,22 @@ def linear_scan(df: DataFrame, value: str, keep: float, *order: Column | str, gr
 
     def summary(part: pd.DataFrame) -> pd.DataFrame:
         part, spans = runs(part)
-        v = part[value].to_numpy(dtype=float)
         rows = []
-        for k, (lo, hi) in enumerate(spans):
-            # groups inside the block neither get a state nor hand one on
-            if 0 < k < len(spans) - 1:
-                continue
-            known = v[lo:hi][~np.isnan(v[lo:hi])]
-            # from an entry state s: held * s + added, where the fold seeds itself by the first value
-            held = keep ** len(known)
-            first = float(known[0]) if len(known) else np.nan
-            added = fold(known, np.nan)[-1] - held * first if len(known) else 0.0
-            rows.append((part[group].iloc[lo], part["_block"].iloc[lo], first, held, added, len(known)))
-        return pd.DataFrame(rows, columns=["_g", "_b", "first", "held", "added", "n"])
-
-    sums = seen.select(group, "_gidx", "_block", value).groupBy("_block").applyInPandas(summary, f"_g {kind}, _b long, first double, held double, added double, n long")
+        for number, value in enumerate(values):
+            v = part[value].to_numpy(dtype=float)
+            for k, (lo, hi) in enumerate(spans):
+                # groups inside the block neither get a state nor hand one on
+                if 0 < k < len(spans) - 1:
+                    continue
+                known = v[lo:hi][~np.isnan(v[lo:hi])]
+                # from an entry state s: held * s + added, where the fold seeds itself by the first value
+                held = keep ** len(known)
+                first = float(known[0]) if len(known) else np.nan
+                added = fold(known, np.nan)[-1] - held * first if len(known) else 0.0
+                rows.append((part[group].iloc[lo], number, part["_block"].iloc[lo], first, held, added, len(known)))
+        return pd.DataFrame(rows, columns=["_g", "_v", "_b", "first", "held", "added", "n"])
+
+    sums = seen.select(group, "_gidx", "_block", *values).groupBy("_block").applyInPandas(summary, f"_g {kind}, _v int, _b long, first double, held double, added double, n long")
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         # one row per block: a group of 10^9 rows has 5 * 10^4 of them
@@ -196,23 +209,23 @@ def linear_scan(df: DataFrame, value: str, keep: float, *order: Column | str, gr
             out.append(state)
             if n:
                 state = added + held * (first if np.isnan(state) else state)
-        return pd.DataFrame({"_b": rows["_b"], "_entry": out})
+        return pd.DataFrame({"_v": rows["_v"], "_b": rows["_b"], "_entry": out})
 
     # only groups that lie in several blocks are linked; a block begins with one of them at most
-    wide = sums.groupBy(F.col("_g").alias("_w")).count().where("count > 1").select("_w")
-    entries = sums.join(wide, F.col("_g").eqNullSafe(F.col("_w")), "left_semi").groupBy("_g").applyInPandas(link, "_b long, _entry double")
+    wide = sums.groupBy(F.col("_g").alias("_w")).agg(F.countDistinct("_b").alias("blocks")).where("blocks > 1").select("_w")
+    entries = sums.join(wide, F.col("_g").eqNullSafe(F.col("_w")), "left_semi").groupBy("_g", "_v").applyInPandas(link, "_v int, _b long, _entry double")
     # the last group of a block has no entry there, so the greatest non-null entry is the first group's
-    entry = entries.groupBy("_b").agg(F.max(F.when(~F.isnan("_entry"), F.col("_entry"))).alias("_entry"))
+    entry = entries.groupBy("_b").agg(*[F.max(F.when((F.col("_v") == k) & ~F.isnan("_entry"), F.col("_entry"))).alias(f"_entry{k}") for k in range(len(values))])
 
     def fill(part: pd.DataFrame) -> pd.DataFrame:
         part, spans = runs(part)
-        v = part[value].to_numpy(dtype=float)
-        e = part["_entry"].iloc[0]
-        out = [fold(v[lo:hi], float(e) if k == 0 and e is not None else np.nan) for k, (lo, hi) in enumerate(spans)]
-        part[name] = np.concatenate(out)
+        for number, (value, name) in enumerate(values.items()):
+            v = part[value].to_numpy(dtype=float)
+            e = part[f"_entry{number}"].iloc[0]
+            part[name] = np.concatenate([fold(v[lo:hi], float(e) if k == 0 and e is not None else np.nan) for k, (lo, hi) in enumerate(spans)])
         return part[names]
 
-    schema = df.withColumn(name, F.lit(0.0)).schema
+    schema = df.withColumns(dict.fromkeys(values.values(), F.lit(0.0))).schema
     names = [f.name for f in schema]
     joined = seen.join(entry, F.col("_block") == F.col("_b"), "left")
     return joined.groupBy("_block").applyInPandas(fill, schema)

@@ -23,28 +23,36 @@ def gate(bad: DataFrame, what: str) -> None:
 def positional_join(wanted: DataFrame, source: DataFrame, order: list[str], index: str = "idx", strict: bool = True) -> DataFrame:
     """Rows of ``wanted`` (0-based ``index``) with the row of ``source`` at that position in the given order.
 
-    Strict mode fails closed: an index outside the source, or a null one, is an error.
+    Only the order columns, which must identify a row, are sorted and numbered; the payload is fetched for the
+    wanted rows by a join. Strict mode fails closed: an index outside the source, a null one, or wanted rows that
+    the order does not tell apart are an error.
     """
-    positions = global_index(source, *order, name=index)
+    positions = global_index(source.select(*order), *order, name=index)
+    hits = wanted.join(positions, index)
     if strict:
         gate(wanted.select(index).join(positions.select(index), index, "left_anti"), "index without row")
-    return wanted.join(positions, index)
+    found = hits.join(source, order)
+    if strict:
+        gate(found.groupBy(index).agg(F.count("*").alias("_n")).join(hits.groupBy(index).agg(F.count("*").alias("_w")), index).where("_n > _w"), "order does not tell rows apart")
+    return found.select(*wanted.columns, *[c for c in source.columns if c not in wanted.columns])
 
 
 def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str) -> DataFrame:
     """Each point with the half-open interval [low, high) that holds it, the intervals being disjoint.
 
-    Intervals travel by broadcast while few; beyond, points and interval starts are merged in order, so
-    no pair is ever tested.
+    An equi-join: an interval between 2^(l-1) and 2^l long lies in at most two slices of width 2^l, and at most three
+    disjoint ones share a slice. A point looks into one slice of every width there is (64 at most). Empty intervals
+    and null bounds or points match nothing.
     """
-    n = intervals.count()
-    if n <= 5_000:
-        return points.join(F.broadcast(intervals), (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))
-    # equi-join on slices of the number line: an interval is copied to the slices it touches
-    width = max(1, int(intervals.agg(F.avg(F.col(high) - F.col(low))).first()[0] or 1))
-    slices = intervals.where(F.col(high) > F.col(low)).withColumn("_slice", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))))
-    placed = points.withColumn("_slice", F.floor(F.col(point) / width))
-    return placed.join(slices, "_slice").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_slice")
+    sized = intervals.where(F.col(high) > F.col(low)).withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2((F.col(high) - F.col(low)).cast("double")))).cast("int"))
+    levels = sorted(r[0] for r in sized.select("_level").distinct().collect())  # one row per power of two
+    if not levels:
+        return points.join(intervals.limit(0), F.lit(False))
+    slice_of = lambda c, level: F.floor(F.col(c) / F.pow(F.lit(2.0), level)).cast("long")
+    placed = sized.withColumn("_slice", F.explode(F.array_distinct(F.array(slice_of(low, F.col("_level")), slice_of(high, F.col("_level"))))))
+    seen = points.withColumn("_level", F.explode(F.array(*[F.lit(level) for level in levels]))).withColumn("_slice", slice_of(point, F.col("_level")))
+    joined = checked_join(seen, placed, ["_level", "_slice"], "inner")
+    return joined.where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_level", "_slice")
 
 
 def shards_covering(counts: DataFrame, shard: str, count: str, highest: int) -> DataFrame:
@@ -64,6 +72,33 @@ def fallback_lookup(names: DataFrame, members: DataFrame, name: str = "name", me
     return found.select(*names.columns, F.coalesce("_exact", "_first").alias("member"), how.alias("match"))
 
 
+def strict_lookup(names: DataFrame, members: DataFrame, name: str = "name", member: str = "member") -> DataFrame:
+    """``fallback_lookup`` that fails closed: a name without member is an error."""
+    found = fallback_lookup(names, members, name, member)
+    gate(found.where("match = 'none'").select(name), "name without member")
+    return found
+
+
+def catalogue(files: DataFrame, subset: str, path: str = "path", ending: str = ".parquet") -> DataFrame:
+    """Files of a subset (``<folder>/<subset>-...``); where there is none, all that name it anywhere."""
+    ended = files.where(F.col(path).endswith(ending))
+    strict = ended.where(F.col(path).rlike(rf"(^|/){subset}-"))
+    return strict if not is_empty(strict) else ended.where(F.col(path).contains(subset))
+
+
+def listed_shards(listing: DataFrame, path: str = "path", prefix: str = "", ending: str = ".parquet") -> DataFrame:
+    """Distinct base names of a listing that begin with ``prefix`` and end with ``ending``: ``shard``."""
+    base = F.element_at(F.split(F.col(path), "/"), -1)
+    return listing.select(base.alias("shard")).where(F.col("shard").startswith(prefix) & F.col("shard").endswith(ending)).distinct()
+
+
+def total_within(rows: DataFrame, value: str, low: float, high: float) -> DataFrame:
+    """``n_rows, total`` of a column; an error where the total is not between the bounds, both excluded."""
+    total = rows.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(value), F.lit(0)).alias("total"))
+    gate(total.where((F.col("total") <= low) | (F.col("total") >= high)), f"total not between {low} and {high}")
+    return total
+
+
 def not_done(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Resume: what is not done yet. A null key is never done."""
     return todo.join(done.select(key).distinct(), key, "left_anti")

@@ -171,7 +171,20 @@ def p5_journal(spark: SparkSession, sf: str) -> DataFrame:
     return committed(spark, out).groupBy("action", "level").agg(F.count("*").alias("n_units"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_cascade": p1_cascade, "p5_found": p5_found, "p5_report": p5_report, "p5_journal": p5_journal}
+def p5_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """What the journal of a whole transaction must add up to: files and records read, records and bytes written, nothing retired."""
+    out = scratch_path(spark, "compacted")
+    compact_shards(spark, sf, out)
+    journal = committed(spark, out)
+    is_ = lambda action: F.col("action") == action
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return journal.agg(
+        F.count_if(is_("input")).alias("files_read"), zero(F.sum(F.when(is_("input"), F.col("rows")))).alias("records_read"), zero(F.sum(F.when(is_("output"), F.col("rows")))).alias("records_written"),
+        zero(F.sum(F.when(is_("output"), F.col("bytes")))).alias("bytes_written"), F.count_if(is_("retire")).alias("retired"),
+    )
+
+
+QUERIES = {"p5_totals": p5_totals, "p1_found": p1_found, "p1_report": p1_report, "p1_cascade": p1_cascade, "p5_found": p5_found, "p5_report": p5_report, "p5_journal": p5_journal}
 
 _KEPT = f"""
 WITH whole AS (SELECT emb_row_id, {_IMG.format('"key"')} AS image, packed_at, vis_bytes FROM emb_shards WHERE {_WHOLE}),
@@ -189,6 +202,9 @@ bad AS (SELECT table_name, strftime(w_at, '%Y-%m') AS month, count(*) FILTER (WH
 SELECT m.*, coalesce(missing, 0) AS missing, coalesce(late, 0) AS late, coalesce(deleted, 0) AS deleted, coalesce(direct, 0) AS direct, coalesce(inherited, 0) AS inherited
 FROM months m LEFT JOIN bad b ON b.table_name = m.table_name AND b.month IS NOT DISTINCT FROM m.month""",
     "p1_cascade": _P1_CASCADE,
+    "p5_totals": _KEPT
+    + """SELECT (SELECT count(DISTINCT file_name) FROM emb_shards) AS files_read, (SELECT count(*) FROM emb_shards) AS records_read, count(*) AS records_written,
+  CAST(sum(octet_length(vis_bytes) + 64) AS BIGINT) AS bytes_written, CAST(0 AS BIGINT) AS retired FROM kept""",
     "p5_found": _KEPT + "SELECT emb_row_id FROM emb_shards WHERE emb_row_id NOT IN (SELECT emb_row_id FROM kept)",
     "p5_report": _KEPT
     + f"""SELECT (SELECT count(DISTINCT file_name) FROM emb_shards) AS files_before, (SELECT count(*) FROM emb_shards) AS records_before,

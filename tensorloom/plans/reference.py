@@ -61,16 +61,22 @@ def path_parts(spark: SparkSession, sf: str) -> DataFrame:
 _NAMES = r"SELECT doc_id, regexp_extract(origin, '([^/]*)$', 1) AS name FROM documents WHERE origin IS NOT NULL"
 
 
-@query(rf"SELECT doc_id, regexp_extract(name, '^([a-z]+)_(\d+)\.(png|jpg)$', 1) AS prefix, CAST(regexp_extract(name, '^([a-z]+)_(\d+)\.(png|jpg)$', 2) AS BIGINT) AS idx, regexp_extract(name, '^([a-z]+)_(\d+)\.(png|jpg)$', 3) AS ext FROM ({_NAMES}) WHERE regexp_matches(name, '^([a-z]+)_(\d+)\.(png|jpg)$')")
+_SCREENS = ("toolpath", "deskpane", "kioskui", "webstep", "tapflow")
+_SUBSETS = (*_SCREENS, "slidetext", "rulebook", "plotset", "bookpage", "whyframe", "scenechat", "odditybox", "formscan", "chartlab")
+_PATTERN = rf"^({'|'.join(_SCREENS)})_(\d+)\.(png|jpg)$"
+
+
+@query(rf"SELECT doc_id, regexp_extract(name, '{_PATTERN}', 1) AS prefix, CAST(regexp_extract(name, '{_PATTERN}', 2) AS BIGINT) AS idx, regexp_extract(name, '{_PATTERN}', 3) AS ext FROM ({_NAMES}) WHERE regexp_matches(name, '{_PATTERN}')")
 def regex_parse_name(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = _T(spark, sf, "documents").where(F.col("origin").isNotNull()).select("doc_id", keys.parsed_name(keys.base_name(F.col("origin"))).alias("p"))
+    """Names of the screen subsets; names of other subsets are not parsed."""
+    parsed = _T(spark, sf, "documents").where(F.col("origin").isNotNull()).select("doc_id", keys.parsed_name(keys.base_name(F.col("origin")), _SCREENS).alias("p"))
     return parsed.where(F.col("p").isNotNull()).select("doc_id", "p.*")
 
 
-@query(rf"SELECT doc_id, name FROM ({_NAMES}) WHERE NOT regexp_matches(name, '^([a-z]+)_(\d+)\.(png|jpg)$')")
+@query(rf"SELECT doc_id, name FROM ({_NAMES}) WHERE NOT regexp_matches(name, '{_PATTERN}')")
 def regex_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     named = _T(spark, sf, "documents").where(F.col("origin").isNotNull()).select("doc_id", keys.base_name(F.col("origin")).alias("name"))
-    return named.where(keys.parsed_name(F.col("name")).isNull())
+    return named.where(keys.parsed_name(F.col("name"), _SCREENS).isNull())
 
 
 @query("SELECT emb_row_id, regexp_extract(file_name, '^data/(.+)$', 1) AS rel FROM emb_shards")
@@ -274,7 +280,7 @@ SELECT s.prefix, count(d.idx) AS n, min(idx) AS lo, max(idx) AS hi, any_value(si
 FROM s LEFT JOIN d ON d.prefix = s.prefix GROUP BY 1"""
 )
 def coverage_gate(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = _T(spark, sf, "documents").select(keys.parsed_name(keys.base_name(F.col("origin"))).alias("p")).select("p.prefix", "p.idx")
+    parsed = _T(spark, sf, "documents").select(keys.parsed_name(keys.base_name(F.col("origin")), _SUBSETS).alias("p")).select("p.prefix", "p.idx")
     subsets = _T(spark, sf, "train_manifest").where(F.col("subset").isNotNull()).select(F.col("subset").alias("prefix")).distinct().withColumn("size", F.lit(9000).cast("long"))
     sizes = subsets.unionByName(spark.createDataFrame([("unused", 10)], "prefix string, size bigint"))
     return relational.coverage(parsed.where(F.col("prefix").isNotNull()), sizes, "prefix", "idx", "size")
@@ -418,7 +424,20 @@ def batch_drop_last(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT shard, count(*) AS n FROM pack_log WHERE shard >= 2 AND shard < 9 GROUP BY 1")
 def shard_range(spark: SparkSession, sf: str) -> DataFrame:
-    return _T(spark, sf, "pack_log").where("shard >= 2 AND shard < 9").groupBy("shard").agg(F.count("*").alias("n"))
+    return _selected_shards(spark, sf, "2:9")
+
+
+def _selected_shards(spark: SparkSession, sf: str, text: str) -> DataFrame:
+    log = _T(spark, sf, "pack_log")
+    n = (log.agg(F.max("shard")).first()[0] or 0) + 1
+    low, high = keys.shard_range(text, n)
+    return log.where((F.col("shard") >= low) & (F.col("shard") < high)).groupBy("shard").agg(F.count("*").alias("n"))
+
+
+@query("SELECT shard, count(*) AS n FROM pack_log WHERE shard >= 5 GROUP BY 1")
+def shard_range_open(spark: SparkSession, sf: str) -> DataFrame:
+    """A bare number selects from that shard to the end."""
+    return _selected_shards(spark, sf, "5")
 
 
 @query("SELECT key FROM pack_log UNION SELECT key FROM emb_shards")
@@ -502,13 +521,17 @@ def cumulative_counters(spark: SparkSession, sf: str) -> DataFrame:
     return totals.select("user_id", "event_id", (F.col("n_so_far") * 8).alias("samples"), "tokens", F.round(F.col("tokens") / F.greatest(F.lit(1e-9), F.col("n_so_far")), 6).alias("rate"))
 
 
-_SPIKE = """WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value AS loss,
-  1 + (event_id * 7919) % 13 + CASE WHEN event_id % 11 = 0 THEN 60 ELSE 0 END AS gnorm FROM events),
-m AS (SELECT user_id, step, loss, CAST(gnorm AS DOUBLE) AS gnorm, median(loss) OVER w AS loss_median, median(gnorm) OVER w AS gnorm_median, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY step ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)),
+def _spike_sql(cooldown: int, ids: str) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value AS loss,
+  CAST(1 + (event_id * 7919) % 13 + CASE WHEN event_id % 11 = 0 THEN 60 ELSE 0 END AS DOUBLE) AS gnorm FROM events),
+m AS (SELECT user_id, step, loss, gnorm, median(loss) OVER w AS loss_median, median(gnorm) OVER w AS gnorm_median, count(*) OVER w AS n,
+  list_reduce(list(loss) OVER u, lambda a, v: 0.98 * a + 0.02 * v) AS loss_ema, list_reduce(list(gnorm) OVER u, lambda a, v: 0.98 * a + 0.02 * v) AS gnorm_ema
+  FROM e WINDOW w AS (PARTITION BY user_id ORDER BY step ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), u AS (PARTITION BY user_id ORDER BY step ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY step) AS i FROM m WHERE n >= 10 AND loss > 1.5 * loss_median AND gnorm > 3 * gnorm_median),
 f(user_id, i, step, last, hit) AS (SELECT user_id, i, step, step, true FROM c WHERE i = 1
-UNION ALL SELECT c.user_id, c.i, c.step, CASE WHEN c.step - f.last > 5 THEN c.step ELSE f.last END, c.step - f.last > 5 FROM f JOIN c ON c.user_id = f.user_id AND c.i = f.i + 1)
-SELECT c.user_id, c.step, round(c.loss, 5) AS loss, round(c.loss_median, 5) AS loss_median, round(c.gnorm, 4) AS gnorm, round(c.gnorm_median, 4) AS gnorm_median FROM f JOIN c ON c.user_id = f.user_id AND c.i = f.i WHERE f.hit"""
+UNION ALL SELECT c.user_id, c.i, c.step, CASE WHEN c.step - f.last > {cooldown} THEN c.step ELSE f.last END, c.step - f.last > {cooldown} FROM f JOIN c ON c.user_id = f.user_id AND c.i = f.i + 1)
+SELECT {ids}, c.step, round(c.loss, 5) AS loss, round(c.loss_median, 5) AS loss_median, round(c.loss_ema, 5) AS loss_ema, round(c.gnorm, 4) AS gnorm, round(c.gnorm_median, 4) AS gnorm_median, round(c.gnorm_ema, 4) AS gnorm_ema
+FROM f JOIN c ON c.user_id = f.user_id AND c.i = f.i WHERE f.hit"""
 
 
 def _run_series(spark: SparkSession, sf: str) -> DataFrame:
@@ -517,9 +540,10 @@ def _run_series(spark: SparkSession, sf: str) -> DataFrame:
     return order.index_within(rows, "user_id", "ts", "event_id", name="step").withColumn("step", F.col("step") + 1)
 
 
-@query(_SPIKE)
+@query(_spike_sql(5, "c.user_id"))
 def spike_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.spikes(_run_series(spark, sf), "user_id", ["step"], "step", cooldown=5)
+    series = _run_series(spark, sf).withColumn("_at", F.col("step") - 1)
+    return metrics.spikes(series, "user_id", ["step"], "step", cooldown=5, position="_at")
 
 
 @query(
@@ -528,77 +552,46 @@ SELECT CAST(user_id AS VARCHAR) AS run, CAST(len(v) AS BIGINT) AS n_rows, round(
 )
 def telemetry_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The monitor over a stream of JSON lines; the last record of each run."""
-    series = _run_series(spark, sf)
-    folder = scratch_path(spark, "telemetry")
-    log = series.select(F.lit("train").alias("type"), F.col("user_id").cast("string").alias("run"), "step", "loss", F.col("gnorm").alias("grad_norm"))
-    log.repartition(4, "run").write.json(f"{folder}/log")
-    telemetry.to_table(telemetry.monitor(telemetry.read_log(spark, f"{folder}/log")), f"{folder}/out", f"{folder}/checkpoint")
-    out = spark.read.parquet(f"{folder}/out")
+    out = _monitored(spark, sf)
     last = out.groupBy("run").agg(F.count("*").alias("n_rows"), F.max(F.struct("step", "loss_ema", "loss_median")).alias("m"))
     return last.select("run", "n_rows", F.round("m.loss_ema", 6).alias("loss_ema"), F.round("m.loss_median", 6).alias("loss_median"))
 
 
-# --- sequence layout ---------------------------------------------------------------------------
-_MAX_LEN = 96
-_TOK = "CASE WHEN coalesce({0}, '') = '' THEN [10] ELSE list_transform(string_split({0}, ''), lambda c: CAST(unicode(c) % 900 + 10 AS INTEGER)) END"
-_LAYOUT = f"""WITH t AS (SELECT row_id, CAST(row_id % 40 AS INTEGER) AS nv, {_TOK.format('"user"')} AS u0, {_TOK.format('assistant')} AS a0 FROM val_manifest),
-b AS (SELECT row_id, nv, u0, a0[1:greatest(1, {_MAX_LEN} - nv - 2)] AS a FROM t),
-c AS (SELECT row_id, nv, a, u0[1:greatest(1, {_MAX_LEN} - nv - 2 - len(a))] AS u FROM b),
-l AS (SELECT *, 2 + nv + len(u) + len(a) AS n, {_MAX_LEN} + 2 AS pad_to FROM c),
-z AS (SELECT *, list_transform(range(nv), lambda i: CAST(0 AS INTEGER)) AS vz, list_transform(range(greatest(0, pad_to - n)), lambda i: CAST(0 AS INTEGER)) AS pz FROM l)
-"""
-
-
-def _sequences(spark: SparkSession, sf: str) -> tuple[DataFrame, Column, Column, Column, Column]:
-    nv = (F.col("row_id") % 40).cast("int")
-    rows = _T(spark, sf, "val_manifest").select("row_id", nv.alias("nv"), layout.char_tokens(F.col("user")).alias("u0"), layout.char_tokens(F.col("assistant")).alias("a0"))
-    u, a = layout.budget(F.col("u0"), F.col("a0"), F.col("nv"), _MAX_LEN)
-    return rows.select("row_id", "nv", u.alias("u"), a.alias("a")), F.col("u"), F.col("a"), F.col("nv"), F.lit(_MAX_LEN + 2)
-
-
-@query(_LAYOUT + "SELECT row_id, CAST(n AS INTEGER) AS n, list_concat(list_concat(list_concat([1], vz), list_concat(u, a)), list_concat([2], pz)) AS input_ids FROM z")
-def collate_layout(spark: SparkSession, sf: str) -> DataFrame:
-    df, u, a, nv, length = _sequences(spark, sf)
-    return df.select("row_id", layout.sequence_length(u, a, nv).alias("n"), layout.input_ids(u, a, nv, length).alias("input_ids"))
-
-
-@query(_LAYOUT + "SELECT row_id, list_concat(list_concat(list_transform(range(1 + nv + len(u)), lambda i: CAST(-100 AS INTEGER)), list_concat(a, [2])), list_transform(pz, lambda x: CAST(-100 AS INTEGER))) AS labels FROM z")
-def collate_labels(spark: SparkSession, sf: str) -> DataFrame:
-    df, u, a, nv, length = _sequences(spark, sf)
-    return df.select("row_id", layout.labels(u, a, nv, length).alias("labels"))
-
-
-@query(_LAYOUT + "SELECT row_id, list_concat(list_transform(range(n), lambda i: CAST(1 AS INTEGER)), pz) AS mask, CAST(n AS BIGINT) AS n_tokens FROM z")
-def collate_attention(spark: SparkSession, sf: str) -> DataFrame:
-    df, u, a, nv, length = _sequences(spark, sf)
-    mask = layout.attention_mask(u, a, nv, length)
-    return df.select("row_id", mask.alias("mask"), F.aggregate(mask, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_tokens"))
-
-
-@query(_LAYOUT + "SELECT CAST(row_id // 8 AS BIGINT) AS batch, CAST(greatest(max(nv), max(n)) AS INTEGER) AS pad_len, CAST(sum(n) AS BIGINT) AS n_tokens FROM z GROUP BY 1")
-def batch_pad_len(spark: SparkSession, sf: str) -> DataFrame:
-    df, u, a, nv, _ = _sequences(spark, sf)
-    n = layout.sequence_length(u, a, nv)
-    return df.groupBy(F.floor(F.col("row_id") / 8).alias("batch")).agg(F.greatest(F.max("nv"), F.max(n)).alias("pad_len"), F.sum(n).alias("n_tokens"))
+def _monitored(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch_path(spark, "telemetry")
+    log = _run_series(spark, sf).select(F.lit("train").alias("type"), F.col("user_id").cast("string").alias("run"), "step", "loss", F.col("gnorm").alias("grad_norm"))
+    log.repartition(4, "run").write.json(f"{folder}/log")
+    telemetry.to_table(telemetry.monitor(telemetry.read_log(spark, f"{folder}/log")), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")
 
 
-@query(_LAYOUT + "SELECT row_id, list_transform(list_concat(list_concat(list_concat([1], vz), list_concat(u, a)), [2]), lambda x, i: CASE WHEN i >= 2 AND i <= nv + 1 THEN CAST(1000 + i - 1 AS INTEGER) ELSE x END) AS spliced FROM z")
-def splice_visual(spark: SparkSession, sf: str) -> DataFrame:
-    df, u, a, nv, _ = _sequences(spark, sf)
-    visual = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), nv)), lambda x: x + 1000)
-    ids = layout.input_ids(u, a, nv, layout.sequence_length(u, a, nv))
-    return df.select("row_id", layout.spliced(ids, visual, nv).alias("spliced"))
+@query(_spike_sql(50, "CAST(c.user_id AS VARCHAR) AS run").replace(" AS gnorm,", " AS grad_norm,"))
+def telemetry_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Alert records of the monitor over a stream."""
+    return telemetry.alert_records(_monitored(spark, sf)).drop("type", "lr")
 
 
-# The same layout over the whole job: both manifests, real numbers of visual tokens, the trainer's bound.
+# --- sequence layout ---------------------------------------------------------------------------
+# Both manifests, the images' numbers of visual tokens, the trainer's bound and batches padded to their longest sequence.
 MAX_SEQ_LEN, BATCH_SIZE = 4096, 8
+_TOK = "CASE WHEN coalesce({0}, '') = '' THEN [10] ELSE list_transform(string_split({0}, ''), lambda c: CAST(unicode(c) % 900 + 10 AS INTEGER)) END"
+_LAYOUT = f"""WITH m AS (SELECT 'train_manifest' AS table_name, row_id, emb, "user", assistant FROM train_manifest UNION ALL SELECT 'val_manifest', row_id, emb, "user", assistant FROM val_manifest),
+images AS (SELECT image, max(n_vis) AS n_vis FROM (SELECT {_IMG.format('"key"')} AS image, n_vis FROM emb_shards) WHERE image <> '' GROUP BY 1),
+t AS (SELECT table_name, row_id, CAST(row_id // {BATCH_SIZE} AS BIGINT) AS batch, CAST(CASE WHEN emb IS NULL THEN 0 ELSE i.n_vis END AS INTEGER) AS nv, {_TOK.format('"user"')} AS u0, {_TOK.format('assistant')} AS a0
+  FROM m LEFT JOIN images i ON i.image = {_IMG.format('m.emb')} WHERE emb IS NULL OR i.n_vis IS NOT NULL),
+b AS (SELECT table_name, row_id, batch, nv, u0, a0[1:greatest(1, {MAX_SEQ_LEN} - nv - 2)] AS a FROM t),
+c AS (SELECT table_name, row_id, batch, nv, a, u0[1:greatest(1, {MAX_SEQ_LEN} - nv - 2 - len(a))] AS u FROM b),
+l AS (SELECT *, 2 + nv + len(u) + len(a) AS n FROM c),
+p AS (SELECT *, greatest(max(n) OVER w, max(nv) OVER w) AS pad_to, max(nv) OVER w AS max_v FROM l WINDOW w AS (PARTITION BY table_name, batch)),
+z AS (SELECT *, list_transform(range(nv), lambda i: CAST(0 AS INTEGER)) AS vz, list_transform(range(pad_to - n), lambda i: CAST(0 AS INTEGER)) AS pz FROM p)
+"""
 
 
 def _collated(spark: SparkSession, sf: str) -> DataFrame:
-    """``table_name, row_id, batch, nv, u, a, n, pad_to`` of every row that can be loaded.
+    """``table_name, row_id, batch, nv, u, a, n, pad_to, max_v`` of every row that can be loaded.
 
     A row without ``emb`` has no visual tokens; an image without tensor record leaves its row out. Batches are
-    eight consecutive ``row_id`` of one manifest, padded to their longest sequence.
+    eight consecutive ``row_id`` of one manifest.
     """
     rows = union_all([_T(spark, sf, m).select(F.lit(m).alias("table_name"), "row_id", "emb", image_of("emb").alias("image"), "user", "assistant") for m in ("train_manifest", "val_manifest")])
     images = _T(spark, sf, "emb_shards").groupBy(image_of("key").alias("image")).agg(F.max("n_vis").cast("int").alias("n_vis")).where(F.col("image").isNotNull())
@@ -606,39 +599,47 @@ def _collated(spark: SparkSession, sf: str) -> DataFrame:
     nv = F.col("nv")
     u, a = layout.budget(layout.char_tokens(F.col("user")), layout.char_tokens(F.col("assistant")), nv, MAX_SEQ_LEN)
     known = known.select("table_name", "row_id", F.floor(F.col("row_id") / BATCH_SIZE).alias("batch"), "nv", "user", "assistant", layout.sequence_length(u, a, nv).alias("n"))
-    padded = known.withColumn("pad_to", F.max("n").over(Window.partitionBy("table_name", "batch")))
-    return padded.select("table_name", "row_id", "batch", "nv", u.alias("u"), a.alias("a"), "n", "pad_to")
+    batch = Window.partitionBy("table_name", "batch")
+    padded = known.withColumns({"pad_to": F.greatest(F.max("n").over(batch), F.max("nv").over(batch)), "max_v": F.max("nv").over(batch)})
+    return padded.select("table_name", "row_id", "batch", "nv", u.alias("u"), a.alias("a"), "n", "pad_to", "max_v")
 
 
-@query()
-def collate_layout_full(spark: SparkSession, sf: str) -> DataFrame:
+@query(_LAYOUT + "SELECT table_name, row_id, CAST(n AS INTEGER) AS n, list_concat(list_concat(list_concat([1], vz), list_concat(u, a)), list_concat([2], pz)) AS input_ids FROM z")
+def collate_layout(spark: SparkSession, sf: str) -> DataFrame:
     return _collated(spark, sf).select("table_name", "row_id", "n", layout.input_ids(F.col("u"), F.col("a"), F.col("nv"), F.col("pad_to")).alias("input_ids"))
 
 
-@query()
-def collate_labels_full(spark: SparkSession, sf: str) -> DataFrame:
+@query(_LAYOUT + "SELECT table_name, row_id, list_concat(list_concat(list_transform(range(1 + nv + len(u)), lambda i: CAST(-100 AS INTEGER)), list_concat(a, [2])), list_transform(pz, lambda x: CAST(-100 AS INTEGER))) AS labels FROM z")
+def collate_labels(spark: SparkSession, sf: str) -> DataFrame:
     return _collated(spark, sf).select("table_name", "row_id", layout.labels(F.col("u"), F.col("a"), F.col("nv"), F.col("pad_to")).alias("labels"))
 
 
-@query()
-def collate_attention_full(spark: SparkSession, sf: str) -> DataFrame:
+@query(_LAYOUT + "SELECT table_name, row_id, list_concat(list_transform(range(n), lambda i: CAST(1 AS INTEGER)), pz) AS mask, CAST(n AS BIGINT) AS n_tokens FROM z")
+def collate_attention(spark: SparkSession, sf: str) -> DataFrame:
     mask = layout.attention_mask(F.col("u"), F.col("a"), F.col("nv"), F.col("pad_to"))
     return _collated(spark, sf).select("table_name", "row_id", mask.alias("mask"), F.col("n").cast("long").alias("n_tokens"))
 
 
-@query()
-def batch_pad_len_full(spark: SparkSession, sf: str) -> DataFrame:
+@query(_LAYOUT + "SELECT table_name, batch, CAST(max(pad_to) AS INTEGER) AS pad_len, CAST(sum(n) AS BIGINT) AS n_tokens FROM z GROUP BY 1, 2")
+def batch_pad_len(spark: SparkSession, sf: str) -> DataFrame:
     return _collated(spark, sf).groupBy("table_name", "batch").agg(F.max("pad_to").alias("pad_len"), F.sum("n").alias("n_tokens"))
 
 
-@query()
-def splice_visual_full(spark: SparkSession, sf: str) -> DataFrame:
+@query(_LAYOUT + "SELECT table_name, row_id, list_concat(list_concat(list_concat([1], list_transform(range(nv), lambda i: CAST(1001 + i AS INTEGER))), list_concat(u, a)), [2]) AS spliced FROM z")
+def splice_visual(spark: SparkSession, sf: str) -> DataFrame:
     nv = F.col("nv")
     ids = layout.input_ids(F.col("u"), F.col("a"), nv, F.col("n"))
     visual = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), nv)), lambda x: x + 1000)
     return _collated(spark, sf).select("table_name", "row_id", layout.spliced(ids, visual, nv).alias("spliced"))
 
 
+@query(_LAYOUT + "SELECT table_name, row_id, nv AS n_vis, list_concat(list_transform(range(nv), lambda i: CAST(i + 1 AS DOUBLE)), list_transform(range(max_v - nv), lambda i: CAST(0 AS DOUBLE))) AS visual FROM z")
+def collate_visual(spark: SparkSession, sf: str) -> DataFrame:
+    """Visual part of every row (here the numbers of its tokens) with zero rows up to the longest of its batch."""
+    values = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("nv"))), lambda x: x.cast("double"))
+    return _collated(spark, sf).select("table_name", "row_id", F.col("nv").alias("n_vis"), layout.padded_visual(values, F.col("nv"), F.col("max_v"), 1).alias("visual"))
+
+
 # --- binary tensors ----------------------------------------------------------------------------
 _LUT = "[0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 0.0, -0.5, -1.0, -1.5, -2.0, -3.0, -4.0, -6.0]"
 
@@ -661,12 +662,14 @@ def blockwise_dequant(spark: SparkSession, sf: str) -> DataFrame:
     return _T(spark, sf, "embeddings").select("vec_id", F.transform(scaled, lambda x: F.round(x, 6) + F.lit(0.0)).alias("vals"))
 
 
-@query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, CAST(len(embedding) * 2 AS BIGINT) AS n_bytes, true AS close FROM embeddings")
+_BF16 = "list_transform({0}, lambda x: CASE WHEN x = 0 THEN CAST(0 AS FLOAT) ELSE CAST(round_even(CAST(x AS DOUBLE) / pow(2.0, floor(log2(abs(CAST(x AS DOUBLE)))) - 7), 0) * pow(2.0, floor(log2(abs(CAST(x AS DOUBLE)))) - 7) AS FLOAT) END)"
+
+
+@query(f"SELECT vec_id, CAST(len(embedding) * 2 AS BIGINT) AS n_bytes, {_BF16.format('embedding')} AS vals FROM embeddings")
 def bf16_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Round trip through bfloat16 bytes: length, and every value within half a unit of the last place."""
-    coded = _T(spark, sf, "embeddings").withColumn("b", codec.bf16_bytes("embedding")).withColumn("back", codec.bf16_values("b"))
-    near = F.forall(F.arrays_zip("embedding", "back"), lambda z: F.abs(z["embedding"] - z["back"]) <= F.abs(z["embedding"]) / 256)
-    return coded.select("vec_id", F.size("embedding").cast("long").alias("n"), F.length("b").cast("long").alias("n_bytes"), near.alias("close"))
+    """Round trip through bfloat16 bytes: every value rounded to eight significant bits, halves to even."""
+    coded = _T(spark, sf, "embeddings").withColumn("b", codec.bf16_bytes("embedding"))
+    return coded.select("vec_id", F.length("b").cast("long").alias("n_bytes"), codec.bf16_values("b").alias("vals"))
 
 
 @query(f"SELECT emb_row_id, n_vis, {_WHOLE} IS TRUE AS whole FROM emb_shards")

@@ -11,12 +11,14 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import LongType, StructType
 
-from tensorloom.runtime import path_exists
+from tensorloom.functions.codec import bf16_bytes, bf16_values, whole_tensor
+from tensorloom.operators.relational import gate, listed_shards
+from tensorloom.runtime import delete_path, is_empty, materialize, path_exists
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, strict: bool = True) -> DataFrame:
@@ -39,6 +41,43 @@ def list_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length")
 
 
+def existing_shards(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """Base names (``shard``) of the Parquet files in a folder that begin with ``prefix``; none where the listing fails."""
+    try:
+        return listed_shards(list_files(spark, path).where("length > 0"), prefix=prefix)
+    except Exception:  # noqa: BLE001  a folder that cannot be listed has no shards
+        return spark.createDataFrame([], "shard string")
+
+
+def read_whole(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """``path, length, content`` of non-empty files."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where("length > 0").select("path", "length", "content")
+
+
+def indexed_scan(spark: SparkSession, *paths: str, index: str = "idx") -> DataFrame:
+    """Rows of Parquet files with their 0-based position over all files in order of path: file offset plus row index.
+
+    Nothing is sorted or shuffled: offsets come from counts, one row per file.
+    """
+    rows = spark.read.parquet(*paths)
+    where = F.col("_metadata.file_path")
+    counts = rows.groupBy(where.alias("_file")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    offsets = counts.select("_file", before.alias("_before"))
+    placed = rows.select("*", where.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return placed.join(F.broadcast(offsets), "_file").withColumn(index, F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
+def read_cache(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """A JSON lines cache. A missing one, or one with a line that cannot be read, is empty."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    marked = spark.read.schema(StructType(kind.fields).add("_corrupt_record", "string")).option("mode", "PERMISSIVE").json(path)
+    lines = materialize(marked, "cache")
+    return lines.drop("_corrupt_record") if is_empty(lines.where(F.col("_corrupt_record").isNotNull())) else spark.createDataFrame([], kind)
+
+
 def parquet_counts(spark: SparkSession, *paths: str) -> DataFrame:
     """Rows of each file, counted from metadata: no data column is read."""
     return spark.read.parquet(*paths).groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count("*").alias("n_rows"))
@@ -114,11 +153,11 @@ def image_size(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(sizes, columns=["w", "h"]).astype("Int64")
 
 
-def write_shards(df: DataFrame, path: str, shard: str = "shard", rows_per_file: int = 1360, row_group_bytes: int = 32 << 20) -> None:
-    """One folder per shard, uncompressed (bfloat16 does not compress), at most ``rows_per_file`` rows a file."""
+def write_shards(df: DataFrame, path: str, shard: str = "shard", rows_per_file: int = 1360, row_group_bytes: int = 32 << 20, row_group_rows: int = 64) -> None:
+    """One folder per shard, uncompressed (bfloat16 does not compress), at most ``rows_per_file`` rows a file and ``row_group_rows`` a row group."""
     (
         df.repartition(shard).sortWithinPartitions(shard).write.mode("overwrite").option("compression", "uncompressed").option("maxRecordsPerFile", rows_per_file)
-        .option("parquet.block.size", row_group_bytes).partitionBy(shard).parquet(path)
+        .option("parquet.block.size", row_group_bytes).option("parquet.block.row.count.limit", row_group_rows).partitionBy(shard).parquet(path)
     )
 
 
@@ -138,6 +177,52 @@ def dataset_card(df: DataFrame, group: str | None = None, size: str | None = Non
     return df.groupBy(name.alias("name")).agg(F.count("*").alias("n_rows"), (F.coalesce(F.sum(size), F.lit(0)) if size else F.lit(0)).cast("long").alias("n_bytes"))
 
 
+def write_card(card: DataFrame, path: str) -> bool:
+    """Write a dataset card as one JSON file, unless there is one: says whether it was written."""
+    if path_exists(card.sparkSession, path):
+        return False
+    card.coalesce(1).write.json(path)  # a row per group
+    return True
+
+
+def write_report(lines: DataFrame, path: str, append: bool = False) -> None:
+    """Write a text report (one string column), new or after what is there."""
+    lines.coalesce(1).write.mode("append" if append else "overwrite").text(path)  # a report is short
+
+
+def write_tensors(df: DataFrame, path: str, values: str, width: int, key: str = "key", **options) -> None:
+    """Encode arrays of floats as bfloat16 records (``key, n_vis, vis_bytes``) and write them as shards."""
+    coded = df.select(key, *[c for c in df.columns if c == "shard"], (F.size(values) / width).cast("long").alias("n_vis"), bf16_bytes(values).alias("vis_bytes"))
+    write_shards(coded if "shard" in df.columns else coded.withColumn("shard", F.lit(0)), path, **options)
+
+
+def read_tensors(spark: SparkSession, path: str, width: int, strict: bool = True) -> DataFrame:
+    """``key, n_vis, values`` of tensor records. Strict: a record without ``n_vis * width`` values is an error; else it is left out."""
+    rows = spark.read.parquet(path)
+    whole = whole_tensor(F.col("n_vis"), F.col("vis_bytes"), width)
+    if strict:
+        gate(rows.where(~whole).select("key", "n_vis"), "record without all its bytes")
+    return rows.where(whole).select("key", "n_vis", bf16_values("vis_bytes").alias("values"))
+
+
+def publish(spark: SparkSession, source: str, target: str, overwrite: bool = False) -> bool:
+    """Copy a written folder or file to another Hadoop file system under a passing name, then rename it: whole or not at all.
+
+    What is there already stays unless ``overwrite``; says whether anything was copied.
+    """
+    if path_exists(spark, target):
+        if not overwrite:
+            return False
+        delete_path(spark, target)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    a, b, part = hadoop.Path(source), hadoop.Path(target), hadoop.Path(f"{target}.part")
+    to = b.getFileSystem(conf)
+    to.delete(part, True)
+    hadoop.FileUtil.copy(a.getFileSystem(conf), a, to, part, False, conf)
+    return bool(to.rename(part, b))
+
+
 def staged_copy(files: DataFrame, target: str, retries: int = 4, wait: float = 0.5) -> DataFrame:
     """Copy ``path`` (with the expected ``size``) into ``target`` in tasks: ``path, staged, length, attempts``.
 

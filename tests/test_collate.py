@@ -45,12 +45,12 @@ def test_whole_job_equals_the_loop(spark, tmp_path):
     n_vis = {image[0]: 40, image[1]: 3900, image[2]: 6000, image[3]: 7}
     spark.createDataFrame([(i, f"embeddings/{k}.pt", n, at) for i, (k, n) in enumerate(n_vis.items())], "emb_row_id bigint, key string, n_vis bigint, packed_at timestamp").write.parquet(f"{tmp_path}/emb_shards.parquet")
     want = collated(rows, n_vis)
-    got = {name: {r["row_id"]: r for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("collate_layout_full", "collate_labels_full", "collate_attention_full", "splice_visual_full")}
+    got = {name: {r["row_id"]: r for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("collate_layout", "collate_labels", "collate_attention", "splice_visual")}
     assert all(set(g) == set(want) for g in got.values()) and max(w["n"] for w in want.values()) > 4096
     for row, w in want.items():
-        assert list(got["collate_layout_full"][row]["input_ids"]) == w["ids"] and got["collate_layout_full"][row]["n"] == w["n"]
-        assert list(got["collate_labels_full"][row]["labels"]) == w["labels"]
-        assert list(got["collate_attention_full"][row]["mask"]) == w["mask"] and got["collate_attention_full"][row]["n_tokens"] == w["n"]
-        assert list(got["splice_visual_full"][row]["spliced"]) == w["spliced"]
-    pads = {(r["table_name"], r["batch"], r["pad_len"]) for r in QUERIES["batch_pad_len_full"](spark, str(tmp_path)).collect()}
+        assert list(got["collate_layout"][row]["input_ids"]) == w["ids"] and got["collate_layout"][row]["n"] == w["n"]
+        assert list(got["collate_labels"][row]["labels"]) == w["labels"]
+        assert list(got["collate_attention"][row]["mask"]) == w["mask"] and got["collate_attention"][row]["n_tokens"] == w["n"]
+        assert list(got["splice_visual"][row]["spliced"]) == w["spliced"]
+    pads = {(r["table_name"], r["batch"], r["pad_len"]) for r in QUERIES["batch_pad_len"](spark, str(tmp_path)).collect()}
     assert pads == {w["pad"] for w in want.values()}

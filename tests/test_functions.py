@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tensorloom.functions import codec, geometry, keys, layout
+from tensorloom.functions.pixels import patches_of
 
 
 @pytest.mark.parametrize(("w", "h", "size", "grid"), [(1000, 1000, (1000, 1000), (72, 72)), (50000, 100, (7167, 14), (2, 512)), (7, 7, (14, 14), (2, 2)), (8000, 1, (7168, 14), (2, 512))])
@@ -43,3 +44,33 @@ def test_keys(spark):
     assert got[0] == got[1] and got[2] is None and got[0].startswith("embeddings/") and len(got[0]) == 34
     assert spark.range(1).select(keys.int_list(F.lit("(1, 8)"))).first()[0] == [1, 8]
     assert spark.range(1).select(keys.padded("emb_", F.lit(12345), 4)).first()[0] == "emb_12345"
+
+
+def test_names_are_never_guessed(spark):
+    names = ["mind2web_12.png", "guiact-web-multi_7.jpg", "other_3.png", "aitw_3.gif", "waveui_.png"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select(keys.parsed_name(F.col("n")).alias("p"))
+    assert [(r["p"]["prefix"], r["p"]["idx"]) if r["p"] else None for r in df.collect()] == [("mind2web", 12), ("guiact-web-multi", 7), None, None, None]
+    paths = spark.createDataFrame([("embeddings/a.pt",), ("a.pt",), ("x/a.pt",), (None,)], "p string")
+    assert [r[0] for r in paths.select(keys.tensor_path(F.col("p"))).collect()] == ["embeddings/a.pt", "embeddings/a.pt", None, None]
+    assert [keys.shard_range(t, 9) for t in ("2:5", "2", ":3", "4:99", "")] == [(2, 5), (2, 9), (0, 3), (4, 9), (0, 9)]
+
+
+@pytest.mark.parametrize("value", [0, 255, 128])
+def test_patches(value):
+    gh, gw, cut = patches_of(np.full((1000, 1000, 3), value, dtype=np.uint8))
+    assert (gh, gw) == (72, 72) and cut.shape == (5184, 3, 14, 14)
+    assert cut[0].min() == cut[0].max() == pytest.approx(value / 127.5 - 1, abs=1e-6) and cut[-1, :, -1, -1].tolist() == [0, 0, 0]
+
+
+def test_patch_order():
+    pixels = np.arange(28 * 56 * 3).reshape(28, 56, 3) % 251
+    gh, gw, cut = patches_of(pixels.astype(np.uint8))
+    want = pixels[14:28, 28:42].transpose(2, 0, 1) / 127.5 - 1
+    assert (gh, gw) == (2, 4) and np.allclose(cut[gw + 2], want, atol=1e-6)
+
+
+def test_two_dimensional_blocks(spark):
+    df = spark.createDataFrame([([float(k) for k in range(50 * 33)], [float(k) for k in range(12)])], "v array<double>, s array<double>")
+    got = np.array(df.select(codec.block_scaled_2d(F.col("v"), F.col("s"), 33, 16, 16).alias("x")).first()["x"]).reshape(50, 33)
+    scales = np.arange(12).reshape(4, 3).repeat(16, 0).repeat(16, 1)[:50, :33]
+    assert np.array_equal(got, np.arange(50 * 33).reshape(50, 33) * scales)

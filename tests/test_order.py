@@ -92,3 +92,17 @@ def test_resume_action(spark, vol, hub, only, action):
     s = spark.createDataFrame([("x",)], "k string")
     got = relational.resume_action(s, s if vol else s.limit(0), s if hub else s.limit(0), "k", bool(only)).first()["action"]
     assert got == action
+
+
+def test_greedy_batches_of_nothing(spark):
+    """Items without size make no place where a batch could begin."""
+    df = spark.range(200_000).selectExpr("id", "if(id % 50000 = 7, 30, 0) as n")
+    got = order.greedy_batches(df, "n", 50, "id").groupBy("batch").count().collect()
+    assert {r["batch"]: r["count"] for r in got} == {0: 50007, 1: 50000, 2: 50000, 3: 49993}
+
+
+def test_range_join_with_one_long_interval(spark):
+    intervals = spark.createDataFrame([("long", 0, 10**12)] + [(f"s{k}", 10**12 + 3 * k, 10**12 + 3 * k + 2) for k in range(50)] + [("none", 5, 5)], "s string, lo bigint, hi bigint")
+    points = spark.createDataFrame([(0,), (5,), (10**12 - 1,), (10**12,), (10**12 + 2,), (10**12 + 4,), (-1,), (None,)], "p bigint")
+    got = {(r["p"], r["s"]) for r in relational.range_join(points, intervals, "p", "lo", "hi").collect()}
+    assert got == {(0, "long"), (5, "long"), (10**12 - 1, "long"), (10**12, "s0"), (10**12 + 4, "s1")}

@@ -1,3 +1,5 @@
+import pytest
+
 from tensorloom.operators.orphans import ForeignKey, asof_state, image_of, orphan_cascade
 
 
@@ -55,3 +57,12 @@ def test_image_of(spark):
     texts = [f"embeddings/{h}.pt", f" /data/{h.upper()}.PT ", h, h + "4", "x", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(image_of("t").alias("i"))
     assert [r["i"] for r in df.collect()] == [h, h, h, None, None, None, None]
+
+
+def test_deep_chain_is_followed_to_its_end(spark):
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 8)], "id bigint, up bigint")
+    keys = [ForeignKey("t", "up", "t", "id")]
+    got = {r["row_id"]: r["round"] for r in orphan_cascade({"t": chain}, keys, {"t": "id"}).collect()}
+    assert got == {str(i): i - 1 for i in range(1, 8)}
+    with pytest.raises(RuntimeError):
+        orphan_cascade({"t": chain}, keys, {"t": "id"}, max_rounds=3)

@@ -1,11 +1,11 @@
 import pytest
 
 import __spark_entry__ as entry
-from tensorloom.plans import integrity, reference
+from tensorloom.plans import integrity, pipeline, reference
 from tests.sql import connect, rows_of_spark, rows_of_sql
 
-CORE = {**reference.QUERIES, **integrity.QUERIES}
-SQL = {**reference.ORACLE, **integrity.ORACLE}
+CORE = {**reference.QUERIES, **pipeline.QUERIES, **integrity.QUERIES}
+SQL = {**reference.ORACLE, **pipeline.ORACLE, **integrity.ORACLE}
 
 
 @pytest.mark.parametrize("name", sorted(CORE))

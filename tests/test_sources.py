@@ -2,9 +2,11 @@ import json
 import struct
 import zipfile
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tensorloom.operators import relational
 from tensorloom.sources import files
 from tensorloom.streaming import telemetry
 
@@ -74,3 +76,48 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
         v = 10.0 if i in (40, 45) else 1.0 + i % 3
         e = v if e is None else 0.98 * e + 0.02 * v
     assert seen[-1]["loss_ema"] == pytest.approx(e)
+
+
+def test_shards_have_small_row_groups_and_listings_absorb_errors(spark, tmp_path):
+    df = spark.range(300).selectExpr("cast(id as string) as key", "0 as shard", "array_repeat(cast(id as float), 8) as v")
+    files.write_tensors(df, f"file://{tmp_path}/t", "v", 4)
+    written = sorted((tmp_path / "t" / "shard=0").glob("*.parquet"))
+    meta = pq.ParquetFile(written[0]).metadata
+    assert max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 64 and meta.row_group(0).column(0).compression == "UNCOMPRESSED"
+    back = {r["key"]: (r["n_vis"], list(r["values"])) for r in files.read_tensors(spark, f"file://{tmp_path}/t", 4).collect()}
+    assert back["5"] == (2, [5.0] * 8) and len(back) == 300
+    with pytest.raises(relational.GateError):
+        files.read_tensors(spark, f"file://{tmp_path}/t", 8)
+    assert [r[0] for r in files.existing_shards(spark, f"file://{tmp_path}/t/shard=0", "part-").collect()] == [written[0].name]
+    assert files.existing_shards(spark, "nosuchfs://x/y").count() == 0 and files.existing_shards(spark, f"file://{tmp_path}/none").count() == 0
+    assert files.read_whole(spark, f"file://{tmp_path}/t/shard=0", "*.parquet").count() == 1
+    placed = {r["key"]: r["idx"] for r in files.indexed_scan(spark, f"file://{tmp_path}/t/shard=0").select("key", "idx").collect()}
+    assert sorted(placed.values()) == list(range(300))
+
+
+def test_card_report_cache_and_publish(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    card = files.dataset_card(spark.range(3))
+    assert files.write_card(card, f"{at}/card") and not files.write_card(card, f"{at}/card") and spark.read.json(f"{at}/card").first()["n_rows"] == 3
+    lines = spark.createDataFrame([("one",)], "line string")
+    files.write_report(lines, f"{at}/report")
+    files.write_report(lines, f"{at}/report", append=True)
+    assert spark.read.text(f"{at}/report").count() == 2
+    (tmp_path / "good.jsonl").write_text('{"k": "a", "v": 1}\n')
+    (tmp_path / "bad.jsonl").write_text('{"k": "a", "v": 1}\n{"k": \n')
+    counts = [files.read_cache(spark, f"{at}/{name}", "k string, v int").count() for name in ("good.jsonl", "bad.jsonl", "none.jsonl")]
+    assert counts == [1, 0, 0]
+    assert files.publish(spark, f"{at}/card", f"{at}/hub/card") and not files.publish(spark, f"{at}/card", f"{at}/hub/card")
+    assert spark.read.json(f"{at}/hub/card").count() == 1
+
+
+def test_alert_action(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    lines = [json.dumps({"type": "train", "run": "r", "step": i, "loss": 10.0 if i == 40 else 1.0, "grad_norm": 50.0 if i == 40 else 0.5, "lr": 0.1}) for i in range(60)]
+    (log / "a.jsonl").write_text("\n".join(lines))
+    seen = []
+    for _ in range(2):
+        telemetry.act_on_alerts(telemetry.monitor(telemetry.read_log(spark, f"file://{log}")), f"file://{tmp_path}/check", f"file://{tmp_path}/alerts", lambda df: seen.extend(df.collect()))
+    assert [(r["step"], r["loss"], r["loss_median"], r["gnorm_ema"]) for r in seen] == [(40, 10.0, 1.0, 1.49)]
+    assert spark.read.json(f"file://{tmp_path}/alerts").count() == 1
