@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.llm.text import clean
@@ -141,17 +141,48 @@ class Profiles:
             ids = self.cache[word] = np.array([self.index.get(g, 0) for g in _word_grams(word)], dtype=np.int64)
         return ids
 
+    def distances_of(self, texts: list[list[str]]) -> np.ndarray:
+        """Mean out-of-place distances (0 to 1) of word lists to every profile; a row of each list, NaN without n-grams.
+
+        All n-grams of a text are ranked, ties by n-gram. Equal lists are compared once; lists are taken together in
+        chunks of some 10^5 n-grams, so the arrays stay small however long the texts are.
+        """
+        place: dict[tuple[str, ...], int] = {}
+        at = [place.setdefault(tuple(words), len(place)) for words in texts]
+        out = np.full((len(place), len(self.languages)), np.nan)
+        waiting: list[tuple[int, np.ndarray]] = []
+        size = 0
+        for words, k in place.items():
+            if not words or not self.languages:
+                continue
+            waiting.append((k, np.concatenate([self._ids(w) for w in words])))
+            size += len(waiting[-1][1])
+            if size > 100_000:
+                self._fill(out, waiting)
+                waiting, size = [], 0
+        if waiting:
+            self._fill(out, waiting)
+        return out[at] if at else out
+
+    def _fill(self, out: np.ndarray, waiting: list[tuple[int, np.ndarray]]) -> None:
+        step = len(self.table)
+        owner = np.repeat(np.arange(len(waiting)), [len(ids) for _, ids in waiting])
+        keys, counts = np.unique(owner * step + np.concatenate([ids for _, ids in waiting]), return_counts=True)
+        owner, ids = np.divmod(keys, step)
+        order = np.lexsort((ids, -counts, owner))
+        owner, ids = owner[order], ids[order]
+        begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        lengths = np.diff(np.append(begins, len(owner)))
+        ranks = (np.arange(len(owner)) - np.repeat(begins, lengths)) * (self.size / np.repeat(lengths, lengths))
+        known = self.table[ids]
+        away = np.minimum(np.abs(known - ranks[:, None]), self.size)
+        away[known >= self.size] = self.size
+        out[[k for k, _ in waiting]] = np.add.reduceat(away, begins, axis=0) / lengths[:, None] / self.size
+
     def distances(self, text: str) -> list[float] | None:
         """Mean out-of-place distance of a text to every profile, 0 to 1; None without n-grams."""
-        words = spoken_words(text)
-        if not words or not self.languages:
-            return None
-        ids, counts = np.unique(np.concatenate([self._ids(w) for w in words]), return_counts=True)
-        order = np.argsort(-counts, kind="stable")[:300]
-        ranks = np.arange(len(order)) * (self.size / len(order))
-        away = np.minimum(np.abs(self.table[ids[order]] - ranks[:, None]), self.size)
-        away[self.table[ids[order]] >= self.size] = self.size
-        return (away.mean(axis=0) / self.size).tolist()
+        found = self.distances_of([spoken_words(text)])[0]
+        return None if not len(found) or np.isnan(found[0]) else found.tolist()
 
     def language(self, text: str) -> tuple[str, float] | None:
         """Language and confidence (0 to 1: lead over the second profile)."""
@@ -174,14 +205,15 @@ def fit_profiles(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE)
     The sample is the same for the same documents: it is chosen by a hash of the text.
     """
     labelled = documents.select(label_code(F.col("lang")).alias("code"), "text").where(F.col("code").isNotNull() & F.col("text").isNotNull())
-    labelled = labelled.withColumn("_h", F.pmod(F.xxhash64("text"), F.lit(1_000_000)))
     counts = {r["code"]: r["count"] for r in labelled.groupBy("code").count().collect()}  # one row per language
-    # twice the sample by hash, then its first rows: no language is ranked in one task
-    most = F.lit(0)
+    # texts of the least hashes: four times the sample by a bound on the hash, copies made one, then the first of them
+    share = F.lit(0.0)
     for code, n in counts.items():
-        most = F.when(F.col("code") == code, F.lit(min(1_000_000, 2 * per_language * 1_000_000 // n + 1))).otherwise(most)
+        share = F.when(F.col("code") == code, F.lit(min(1.0, 4 * per_language / n))).otherwise(share)
+    few = labelled.withColumn("_h", F.xxhash64("text")).where(F.col("_h") / F.lit(2.0**64) + 0.5 <= share).groupBy("code", "_h").agg(F.min("text").alias("text"))
+    chosen = few.withColumn("_n", F.row_number().over(Window.partitionBy("code").orderBy("_h"))).where(F.col("_n") <= per_language)
     taken: dict[str, list[tuple[int, str]]] = {}
-    for r in labelled.where(F.col("_h") < most).select("code", "_h", "text").collect():
+    for r in chosen.collect():  # at most ``per_language`` texts of each language
         taken.setdefault(r["code"], []).append((r["_h"], r["text"]))
     texts = {code: [s for _, t in sorted(rows)[:per_language] for _, s in sentences(t)] for code, rows in taken.items()}
     texts = {code: s for code, s in texts.items() if s}
@@ -195,11 +227,22 @@ def segments(text: str | None, profiles: Profiles) -> list[tuple[int, str, float
 
     A single sentence without clear lead takes the main language of its document if that is hardly farther.
     """
-    judged = []
-    for _, s in sentences(text):
-        d = profiles.distances(s)
-        if d is not None:
-            judged.append((*_choice(d), len(s), d))
+    return segments_of([text], profiles)[0]
+
+
+def segments_of(texts: list[str | None], profiles: Profiles) -> list[list[tuple[int, str, float, int]]]:
+    """``segments`` of many documents, their sentences compared together."""
+    parts = [[s for _, s in sentences(text)] for text in texts]
+    found = profiles.distances_of([spoken_words(s) for own in parts for s in own])
+    out, at = [], 0
+    for own in parts:
+        rows = found[at : at + len(own)].tolist()
+        at += len(own)
+        out.append(_joined([(*_choice(d), len(s), d) for s, d in zip(own, rows, strict=True) if d and d[0] == d[0]], profiles))
+    return out
+
+
+def _joined(judged: list[tuple[list[int], float, int, list[float]]], profiles: Profiles) -> list[tuple[int, str, float, int]]:
     if not judged:
         return []
     seen = Counter(order[0] for order, _, _, _ in judged)
@@ -231,7 +274,7 @@ def document_segments(documents: DataFrame, profiles: Profiles) -> DataFrame:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = shared.value
         for batch in batches:
-            rows = [(d, *s) for d, text in zip(batch["doc_id"], batch["text"], strict=True) for s in segments(text, p)]
+            rows = [(d, *s) for d, found in zip(batch["doc_id"], segments_of(batch["text"].tolist(), p), strict=True) for s in found]
             yield pd.DataFrame(rows, columns=["doc_id", "segment", "language", "confidence", "letters"])
 
     texts = spread(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").where(F.col("text").isNotNull()))
@@ -251,10 +294,10 @@ def document_languages(documents: DataFrame, profiles: Profiles) -> DataFrame:
         p = shared.value
         for batch in batches:
             rows = []
-            for doc, label, text in zip(batch["doc_id"], batch["label"], batch["text"], strict=True):
+            for doc, label, found in zip(batch["doc_id"], batch["label"], segments_of(batch["text"].tolist(), p), strict=True):
                 letters: Counter = Counter()
                 trust: Counter = Counter()
-                for _, language, confidence, size in segments(text, p):
+                for _, language, confidence, size in found:
                     letters[language] += size
                     trust[language] += confidence * size
                 total = sum(letters.values())

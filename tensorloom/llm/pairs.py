@@ -54,7 +54,14 @@ _REFUSALS = re.compile(
             r"\bi have no (?:way|means|ability) (?:to|of) (?:see|view|read|access|open|look)",
             r"\bi will leave (?:it|this|that) unanswered",
             r"\bas an ai(?: language)?(?: model| assistant)?\b.{0,60}\b(?:cannot|can't|unable|not able|not allowed|decline|no way)",
+            r"\bi(?:'d| would) (?:rather|prefer) not\b|\bi prefer not to\b|\bi (?:refuse|decline) to\b",
+            r"\b(?:that|this|it)(?:'s| is) not something i(?: can|'m able| am able|'m going| am going| will)\b",
+            r"\bi(?:'m| am) afraid (?:that )?i (?:can't|cannot|won't|am unable|am not)\b",
+            r"^(?:sorry[,.]? )?(?:unable|not able) to (?:help|assist|answer|comply|provide|describe)\b",
+            r"\b(?:cannot|can't|won't|unable to) (?:fulfil+|honou?r|satisfy|process) (?:this|that|your) request",
+            r"\bi(?:'ll| will)? have to (?:pass|decline)\b",
             # German
+            r"\bich (?:möchte|will|werde) (?:\w+ ){0,4}(?:lieber )?(?:nicht|nichts)(?: \w+){0,2} (?:sagen|antworten|beantworten|verraten|preisgeben|helfen)\b|\bich (?:lehne|weigere)\b|\b(?:möchte|will|werde) ich (?:\w+ ){0,4}(?:nicht|nichts) (?:sagen|antworten|beantworten)\b",
             r"\bich bin (?:leider )?nicht (?:in der lage|befugt|berechtigt|imstande)",
             r"\bich (?:kann|darf|werde|möchte) (?:\w+ ){0,6}(?:nicht|keine|kein)(?: \w+){0,3} (?:helfen|beantworten|beschreiben|ansehen|geben|antworten|weiterhelfen|sagen|mitteilen|sehen|tun)\b",
             r"\b(?:kann|darf) ich (?:\w+ ){0,5}(?:nicht|keine|kein)\b",
@@ -68,7 +75,20 @@ _REFUSALS = re.compile(
             # Dutch
             r"\bik (?:kan|mag|wil|zal) (?:\w+ ){0,6}(?:niet|geen|niks)(?: \w+){0,3} (?:helpen|beantwoorden|beschrijven|bekijken|geven|zien|zeggen|antwoorden)\b",
             r"\bik ben (?:helaas )?niet (?:in staat|bevoegd|gemachtigd)",
+            r"\b(?:dat|daar|dit|hier)(?:op)? (?:antwoord|beantwoord|help|zeg) ik (?:\w+ )?(?:niet|niets)\b|\bik (?:weiger|zeg liever niets|geef liever geen)\b",
+            r"\bje (?:préfère|préférerais) ne (?:pas|rien)\b|\bje (?:refuse|me refuse)\b|\bje ne (?:souhaite|veux|vais) pas (?:répondre|vous aider|aider|dire)\b",
+            r"\b(?:prefiero|preferiría) no (?:responder|contestar|decir|hablar)\b|\bme niego a\b|\bno (?:voy|vamos) a (?:responder|contestar|ayudar|poder)\b",
+            # Italian
+            r"\bnon (?:posso|potrò|sono in grado|sono autorizzat[oa]|mi è (?:possibile|permesso|consentito))\b(?: \w+){0,3}? (?:aiutar|risponder|fornir|descriver|di |dir)|\bpreferisco non\b|\bmi rifiuto\b",
             # Portuguese, Polish, Russian
+            r"\bnão (?:vou|irei|quero|poderei) (?:\w+ ){0,2}?(?:ajudar|responder|dizer|descrever|fornecer)\b|\b(?:prefiro|preferia) não (?:responder|dizer|comentar)\b|\brecuso(?:-me)?\b",
+            r"\bodmawiam\b|\bwolę nie (?:odpowiadać|mówić)|\bnie będę (?:odpowiadać|pomagać)",
+            r"\bотказываюсь\b|предпочитаю не |\bне буду (?:отвечать|помогать)|\bне (?:смогу|можем) (?:помочь|ответить)",
+            # Chinese, Japanese, Korean, Arabic, Turkish
+            r"(?:无法|不能|不便|没办法|無法|拒绝|拒絕)(?:为您|为你|向您|给您)?(?:直接)?(?:回答|提供|协助|協助|帮助|帮您|满足|处理|讨论|描述)",
+            r"(?:お答え|回答|お手伝い|ご案内|対応|提供|お応え|説明)(?:を|は|することは|することが)?(?:でき(?:ません|ない|かね)|致しかね|いたしかね|差し控え)",
+            r"(?:답변|도움|도와|제공|설명|대답)[^.]{0,12}수 없",
+            r"لا (?:أستطيع|يمكنني|أقدر)|\b(?:yardımcı olamam|cevap veremem|yanıtlayamam|yardım edemem)",
             r"\bnão (?:posso|consigo|estou autorizad[oa]|sou capaz|tenho permissão|me é permitido)",
             r"\bnie (?:mogę|jestem w stanie|wolno mi|potrafię)",
             r"\bя не (?:могу|имею права|в состоянии|вправе)|\bмне (?:не разрешено|нельзя|запрещено)",
@@ -95,13 +115,17 @@ def _near(a: list[str], b: list[str]) -> bool:
         return True
     if len(a) < 4 or abs(len(a) - len(b)) > 1 + len(b) // 12:
         return False
+    most = max(1, len(b) // 8)
+    there = set(a)
+    if sum(w not in there for w in b) > most:
+        return False
     # two rows of edit distance over words
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1] <= max(1, len(b) // 8)
+    return row[-1] <= most
 
 
 def is_copy(question: str | None, answer: str) -> bool:
@@ -141,6 +165,8 @@ def is_other_script(asked: str, said: str) -> bool:
     Words that stand in the question do not count, nor does a single letter of an alphabet (a symbol). Names
     are written in Latin letters everywhere: a Latin answer to another script counts from four words on.
     """
+    if asked.isascii() and said.isascii():
+        return False
     want, _ = main_script(asked)
     known = set(words(asked))
     rest = [w for w in words(said) if w not in known]
@@ -292,7 +318,9 @@ def find_defects(pairs: DataFrame) -> DataFrame:
     begun = neighbours.where(F.length("word") > 1).select("prev", F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))")).alias("last"))
     cut = endings.join(complete, ["prev", "last"], "left_anti").join(begun, ["prev", "last"], "left_semi").withColumn("cut", F.lit(True))
     cut = materialize(cut, "cut")
-    joined = judged.join(cut, ["prev", "last"], "left")
+    # rows whose end is not in question stay out of the join: they would all meet under one null key
+    asked = judged.where("last is not null").join(cut, ["prev", "last"], "left")
+    joined = asked.unionByName(judged.where("last is null").withColumn("cut", F.lit(False)))
     defects = F.when(F.coalesce("cut", F.lit(False)), F.concat("defects", F.array(F.lit("truncated")))).otherwise(F.col("defects"))
     return joined.select(F.col("row_id").cast(kind).alias("row_id"), defects.alias("defects")).where("size(defects) > 0")
 

@@ -14,6 +14,7 @@ _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤⁪-⁯︀-
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,60}>")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|`[^`]*`")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_NO_LETTER = re.compile("[^A-Za-z]+")
 _CYRILLIC = re.compile("[а-яё]")
 
 _LANGUAGES_OF_WORD: dict[str, list[str]] = {}
@@ -54,6 +55,9 @@ def _script(letter: str) -> str:
 
 def main_script(text: str) -> tuple[str | None, int]:
     """Unicode script of more than half of the letters, and how many letters it has; None where there is none."""
+    if text.isascii():
+        n = len(_NO_LETTER.sub("", text))
+        return ("LATIN", n) if n else (None, 0)
     count = Counter(_script(ch) for ch in text if ch.isalpha())
     script, n = max(count.items(), key=lambda x: x[1], default=(None, 0))
     return (script, n) if script and n * 2 > count.total() else (None, 0)

@@ -102,3 +102,26 @@ def test_no_other_script(question, answer):
 
 def test_latin_answer_to_another_script():
     assert pairs.is_other_language("Где находится план зала?", "The plan is in the footer.")
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "I'd rather not answer that.", "That's not something I can help with.", "I'm afraid I can't do that for you.", "Unable to comply.", "I refuse to comment on this picture.",
+        "Dazu möchte ich lieber nichts sagen.", "Je préfère ne pas répondre à cette question.", "Prefiero no contestar.", "Daar antwoord ik liever niet op.", "Mi dispiace, ma non posso aiutarti con questo.",
+        "Desculpe, não vou ajudar com isso.", "Wolę nie odpowiadać na to pytanie.", "Извините, я не смогу помочь с этим.", "抱歉，我无法回答这个问题。", "申し訳ございませんが、お答えできません。", "죄송합니다. 답변을 드릴 수 없습니다.",
+    ],
+)
+def test_refusals_of_other_wordings(answer):
+    assert pairs.is_refusal(answer)
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "The dialog says \"I'd rather not answer that\".", "The user cannot close the window.", "It is not something the table shows, but the chart does: 7.", "Der Knopf ist nicht aktiv.",
+        "Le bouton ne peut pas être fermé.", "No hay ningún botón rojo.", "Non ci sono voci nella lista.", "图中没有红色按钮。", "赤いボタンはありません。",
+    ],
+)
+def test_sound_answers_of_other_wordings(answer):
+    assert not pairs.is_refusal(answer)
