@@ -65,11 +65,6 @@ def plan_tiers(units: DataFrame, target_bytes: int, base_bytes: int = 4096, fano
     return current.select(F.col("leaf").alias("unit"), F.col("unit").alias("output")), union_all([none, *merges])
 
 
-def latest_records(meta: DataFrame, key: str, order: list[Column], record_id: str) -> DataFrame:
-    """Ids of the record to keep for each key: the greatest ``order``, combined map-side (a hot key is one row per task)."""
-    return meta.groupBy(key).agg(F.max(F.struct(*order, F.col(record_id).alias("_id"))).alias("_best")).select(F.col("_best")["_id"].alias(record_id))
-
-
 def committed(spark: SparkSession, out: str) -> DataFrame:
     """Journal rows of all committed runs."""
     if not path_exists(spark, f"{out}/journal"):
@@ -80,7 +75,8 @@ def committed(spark: SparkSession, out: str) -> DataFrame:
     runs = sorted(str(s.getPath().toString()) for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
     if not runs:
         return spark.createDataFrame([], JOURNAL + ", run string")
-    return union_all([spark.read.schema(JOURNAL).parquet(r).withColumn("run", F.lit(r.rsplit("run=", 1)[1])) for r in runs])
+    # one scan, however many runs there were
+    return spark.read.schema(JOURNAL).parquet(*runs).withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), "/run=([^/]+)/", 1))
 
 
 def live_outputs(spark: SparkSession, out: str) -> DataFrame:
@@ -170,29 +166,36 @@ def compact(
         lost = all_held.join(sizes, "unit", "left").where(F.coalesce(F.col("rows"), F.lit(0)) < F.col("had")).select("unit").join(untouched, "unit", "left_anti")
         idle = target.where((F.col("unit") == F.col("output")) & F.col("unit").startswith("out:")).select("unit").join(lost, "unit", "left_anti")
         target = target.join(idle, "unit", "left_anti")
-    # outputs are numbered, so that a record carries eight bytes to its file (one row per output here)
-    numbered = target.select("output").distinct().select("output", F.row_number().over(Window.orderBy("output")).alias("no"))
-    target = materialize(target.join(numbered, "output").select("unit", "no", F.concat(F.lit(run), F.lit("-"), F.col("no").cast("string")).alias("output")), "target")
+    # outputs are numbered, so that a record carries eight bytes to its file (one row per output here); a unit far above
+    # the target is spread over several files by a hash of its records
+    weights = target.join(sizes, "unit").groupBy("output").agg(F.sum("bytes").alias("b"))
+    numbered = weights.select("output", F.greatest(F.lit(1), F.floor(F.col("b") / F.lit(target_bytes))).alias("pieces"))
+    up_to = F.sum("pieces").over(Window.orderBy("output").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = materialize(numbered.select("output", "pieces", (up_to - F.col("pieces")).alias("before")), "numbered")
+    target = materialize(target.join(numbered, "output"), "target")
 
     # one join puts the output number on the records, one exchange brings them together; record ids are
     # unique among the records and among the live outputs
     is_old = lambda c: F.col(c).startswith("out:").alias("_old")
-    place = materialize(kept.select("_rid", "unit").join(target, "unit").select("_rid", is_old("unit"), "no"), "place")
+    number = (F.col("before") + F.pmod(F.xxhash64("_rid"), F.col("pieces"))).cast("int")
+    place = materialize(kept.join(target, "unit").select("_rid", is_old("unit"), number.alias("no"), "_weight"), "place")
     placed = place.count()
     source = records.select(F.lit(False).alias("_old"), F.col(record_id).alias("_rid"), *payload)
     if old is not None:
         source = source.unionByName(old.select(F.lit(True).alias("_old"), F.col(record_id).alias("_rid"), *payload))
-    outputs = numbered.count()
-    # a join by broadcast only while the counted mapping is small
-    merged = source.join(F.broadcast(place) if placed <= BROADCAST_ROWS else place, ["_rid", "_old"]).drop("_rid", "_old")
+    outputs = int(numbered.agg(F.coalesce(F.sum("pieces"), F.lit(0))).first()[0])
+    # a join by broadcast only while the counted mapping is small (13 bytes a row)
+    where = place.drop("_weight")
+    merged = source.join(F.broadcast(where) if placed <= BROADCAST_ROWS else where, ["_rid", "_old"]).drop("_rid", "_old")
+    name = lambda c: F.concat(F.lit(run), F.lit("-"), F.col(c).cast("string"))
     data = f"{out}/data/run={run}"
     delete_path(spark, data)
     if outputs:
-        merged = merged.repartition(max(1, outputs), "no").withColumn("output", F.concat(F.lit(run), F.lit("-"), F.col("no").cast("string"))).drop("no")
+        # one task per output, none with two
+        merged = merged.repartitionById(outputs, "no").withColumn("output", name("no")).drop("no")
         merged.write.option("compression", "uncompressed").partitionBy("output").parquet(data)
 
-    sized = target.join(sizes, "unit").groupBy("output").agg(F.sum("rows").alias("count"), F.sum("bytes").alias("bytes"))
-    made = sized.select("output", "count", "bytes")
+    made = place.groupBy(name("no").alias("output")).agg(F.count("*").alias("count"), F.sum("_weight").alias("bytes"))
     rows = [
         inputs.select(F.lit("input").alias("action"), F.lit(None).cast("int").alias("level"), "unit", F.lit(None).cast("string").alias("output"), "rows", "bytes"),
         merges.select(F.lit("merge").alias("action"), "level", "unit", "output", F.lit(None).cast("long").alias("rows"), F.lit(None).cast("long").alias("bytes")),

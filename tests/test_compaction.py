@@ -68,3 +68,12 @@ def test_tiers_bound_the_outputs(spark):
     target, merges = plan_tiers(units, 8000, base_bytes=128, fanout=4)
     sizes = [r["b"] for r in target.join(units, "unit").groupBy("output").agg(F.sum("bytes").alias("b")).collect()]
     assert max(sizes) < 16000 and len(sizes) < 60 and merges.count() >= 500
+
+
+def test_unit_above_the_target_is_spread(spark, tmp_path):
+    rows = [(i, "one.parquet", f"k{i}", bytes(100)) for i in range(600)] + [(1000 + i, f"small{i}.parquet", f"s{i}", bytes(10)) for i in range(5)]
+    df = spark.createDataFrame(rows, "rid bigint, file string, k string, data binary")
+    out = f"file://{tmp_path}/c"
+    done = compact(df, out, file_column="file", record_id="rid", key=F.col("k"), whole=F.lit(True), order=[F.col("rid")], payload=["rid", "k", "data"], weight=F.length("data"), target_bytes=10_000, base_bytes=16)
+    kept = read_compacted(spark, out).groupBy("output").agg(F.count("*").alias("n"), F.sum(F.length("data")).alias("b")).collect()
+    assert sum(r["n"] for r in kept) == 605 and done["outputs"] == 7 and len(kept) >= 6 and max(r["b"] for r in kept) < 20_000
