@@ -33,6 +33,8 @@ SAMPLE = 4000
 FEATURES = 1 << 14
 #: Gradient steps at most (the report says whether they sufficed), and parts of a membership.
 MAX_STEPS, GRAIN = 200, 64
+#: Different memberships up to which the fit runs on the driver (an array of that many rows and a column per target).
+MOST_CELLS = 50_000
 
 # Fixed value: the published split pattern of the 50k byte-level vocabulary.
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -171,6 +173,11 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
     # equal memberships have equal rates: one row each
     soft = materialize(read_docs.where("source is null").groupBy("posterior").agg(F.sum("tokens").alias("tokens")), "memberships")
     dims = len(classes)
+    # so few rows of so many numbers fit the driver, which then saves a job for each step; more stay distributed
+    held = None
+    if dims and soft.count() <= MOST_CELLS:
+        rows_held = soft.collect()
+        held = np.array([r["posterior"] for r in rows_held], dtype=float).reshape(-1, dims), np.array([r["tokens"] for r in rows_held], dtype=float)
 
     def totals(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected tokens of each target after these steps, and its capacity. The history gives every rate anew: no state to lose."""
@@ -182,9 +189,14 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS,
                 r, cap = _rates(p, most, steps)
                 yield pd.DataFrame([np.concatenate([(r * t) @ p, (cap * t) @ p, t @ p])], columns=[f"c{k}" for k in range(3 * dims)])
 
-        columns = [f"c{k}" for k in range(3 * dims)]
-        row = soft.mapInPandas(fold, ", ".join(f"{c} double" for c in columns)).agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in columns]).first()
-        parts = np.array(row[:], dtype=float).reshape(3, dims)
+        if held is not None:
+            p, t = held
+            r, cap = _rates(p, most, steps)
+            row = np.concatenate([(r * t) @ p, (cap * t) @ p, t @ p])
+        else:
+            columns = [f"c{k}" for k in range(3 * dims)]
+            row = soft.mapInPandas(fold, ", ".join(f"{c} double" for c in columns)).agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in columns]).first()[:]
+        parts = np.array(row, dtype=float).reshape(3, dims)
         r, cap = _rates(np.eye(dims), most, steps)
         return parts[0] + hard * r, parts[1] + hard * cap, parts[2] + hard
 

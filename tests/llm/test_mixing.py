@@ -1,5 +1,6 @@
 import pytest
 
+from tensorloom.llm import mixing
 from tensorloom.llm.mixing import SourceClassifier, count_tokens, mix
 
 
@@ -52,3 +53,16 @@ def test_classifier_accuracy_and_defined_cases(spark):
     assert chosen.count() == 0 and report.count() == 0
     chosen, report = mix(documents(spark, [(None, "a b", "x"), (1, "a b", "x"), (1, "a b", "x")]), targets(spark, [("x", None, 2), (None, 0.5, 1), ("x", 0.5, None)]))
     assert report.count() == 1 and chosen.count() == 3
+
+
+def test_fit_is_the_same_on_driver_and_cluster(spark, monkeypatch):
+    rows = [(i, text("apple", 20 + i % 7), "fruit") for i in range(60)] + [(300 + i, text("stone", 20), "rock") for i in range(60)] + [(600 + i, text("stone apple" if i % 2 else "apple", 20), None) for i in range(20)]
+    args = documents(spark, rows), targets(spark, [("fruit", 0.6, 2), ("rock", 0.4, 2)])
+    one = sorted(map(tuple, mix(*args)[1].select("source", "fitted_share", "reached_share", "converged").collect()))
+    monkeypatch.setattr(mixing, "MOST_CELLS", 0)
+    monkeypatch.setattr(mixing, "MAX_STEPS", 6)
+    other = sorted(map(tuple, mix(*args)[1].select("source", "fitted_share", "reached_share", "converged").collect()))
+    monkeypatch.setattr(mixing, "MOST_CELLS", 50_000)
+    same = sorted(map(tuple, mix(*args)[1].select("source", "fitted_share", "reached_share", "converged").collect()))
+    assert [r[0] for r in one] == [r[0] for r in other] and all(a[:1] == b[:1] and a[1:3] == pytest.approx(b[1:3]) for a, b in zip(same, other, strict=True))
+    assert all(r[3] for r in one)
