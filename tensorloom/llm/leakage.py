@@ -1,4 +1,4 @@
-"""Evaluation passages in training texts: broadcast n-gram set, window scan, verification by alignment.
+"""Evaluation passages in training texts: broadcast n-gram set, window scan, verification by edit distance.
 
 Texts are read as plain words: case, punctuation, markup, line breaks (hyphenated ones too) and
 invisible characters do not count. The n-grams of the evaluation items, instruction sentences that
@@ -6,7 +6,7 @@ several items share left out, are broadcast in blocks of bounded size; every doc
 per block. A passage counts if at least ``least`` words of an item stand in the document in order, with
 at most one word in six changed, added or dropped, and most of the words that set the item apart from
 the others intact (or none of them in it, or a run of ``least`` words unchanged). Such a passage always holds an unchanged run of four
-words, so the scan misses none; hits are verified by aligning the words around them.
+words, so the scan misses none. Each run is followed to both sides edit by edit, as far as the words agree.
 
 Defined cases: null and empty texts hold nothing; repeated items and documents each count; very long
 texts are scanned whole; empty tables give no rows; other columns are ignored.
@@ -15,10 +15,11 @@ texts are scanned whole; empty tables give no rows; other columns are ignored.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import unicodedata
 import uuid
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -89,64 +90,52 @@ def common_words(sentences: DataFrame) -> frozenset[str]:
     return frozenset(r["word"] for r in words.groupBy("word").count().where(F.col("count") > few).collect())
 
 
-def align(item: list[str], doc: list[str]) -> list[tuple[str, int, int]]:
-    """Best local alignment of two word lists: (kind, item position, document position), kinds = x i d."""
-    n, m = len(item), len(doc)
-    score = [[0] * (m + 1) for _ in range(n + 1)]
-    best, at = 0, (0, 0)
-    for i in range(1, n + 1):
-        x, row, above = item[i - 1], score[i], score[i - 1]
-        for j in range(1, m + 1):
-            s = above[j - 1] + (2 if x == doc[j - 1] else -2)
-            if above[j] - 2 > s:
-                s = above[j] - 2
-            if row[j - 1] - 2 > s:
-                s = row[j - 1] - 2
-            if s > 0:
-                row[j] = s
-                if s > best:
-                    best, at = s, (i, j)
-    path = []
-    i, j = at
-    while i and j and score[i][j] > 0:
-        s = score[i][j]
-        if s == score[i - 1][j - 1] + (2 if item[i - 1] == doc[j - 1] else -2):
-            path.append(("=" if item[i - 1] == doc[j - 1] else "x", i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif s == score[i - 1][j] - 2:
-            path.append(("d", i - 1, j - 1))
-            i -= 1
-        else:
-            path.append(("i", i - 1, j - 1))
-            j -= 1
-    return path[::-1]
-
-
-def passage(path: list[tuple[str, int, int]], least: int, marks: list[bool]) -> tuple[int, int, int] | None:
-    """Longest stretch of an alignment that counts: words, first and last document position.
-
-    It has ``least`` item words or more and one edit in six at most, and keeps most of the item's words
-    that set it apart (``marks`` by item position), if it has any: items written after one pattern share its
-    other words.
+#: Edits to either side of an unchanged run up to which a passage is followed at once; neighbouring passages are joined.
+MOST_EDITS = 40
+
+
+def reaches(item: list[str], doc: list[str], most: int) -> list[tuple[int, int, tuple[int, ...]] | None]:
+    """For 0, 1, ... ``most`` edits: how far two word lists agree from their beginnings, the last words being equal.
+
+    (item words, document words, places of edited item words), furthest in the item; None where no stretch with so
+    many edits ends on equal words. Furthest reaching points by diagonal: each edit starts from those of one edit less.
     """
-    best = None
-    n = len(path)
-    for a in range(n):
-        if path[a][0] != "=":
-            continue
-        words = edits = own = kept = 0
-        for b in range(a, n):
-            kind, at, _ = path[b]
-            edits += kind != "="
-            if kind != "i":
-                words += 1
-                own += marks[at]
-                kept += marks[at] and kind == "="
-            if kind == "=" and words >= least and edits * 6 <= words + 1 and (not own or kept * 2 > own) and (best is None or words > best[0]):
-                best = (words, path[a][2], path[b][2])
-        if best and best[0] >= n - a:
+    n, m = len(item), len(doc)
+    i = 0
+    while i < n and i < m and item[i] == doc[i]:
+        i += 1
+    points: dict[int, tuple[int, tuple[int, ...]]] = {0: (i, ())}
+    out: list[tuple[int, int, tuple[int, ...]] | None] = [(i, i, ())]
+    for e in range(1, most + 1):
+        new: dict[int, tuple[int, tuple[int, ...]]] = {}
+        best = None
+        for d in range(-e, e + 1):
+            at = None
+            # changed, dropped (the item is a word ahead), added (the document is), or no further edit
+            for old, step in ((d, 1), (d - 1, 1), (d + 1, 0), (d, 0)):
+                p = points.get(old)
+                if p is None:
+                    continue
+                # where a text is at its end, an edit a word before it leads here
+                i = min(p[0] + step, n, m + d)
+                if i >= max(0, d) and (at is None or i > at[0]):
+                    at = (i, p[1] + (i - 1,) if step and i else p[1])
+            if at is None:
+                continue
+            i = at[0]
+            while i < n and i - d < m and item[i] == doc[i - d]:
+                i += 1
+            new[d] = (i, at[1])
+            # all points of a diagonal before the furthest one are reached as well: the last with equal words
+            while i > 0 and i - d > 0 and item[i - 1] != doc[i - d - 1]:
+                i -= 1
+            if i > 0 and i - d > 0 and (best is None or i > best[0]):
+                best = (i, i - d, tuple(p for p in at[1] if p < i))
+        out.append(best)
+        if not new:
             break
-    return best
+        points = new
+    return out
 
 
 class Index:
@@ -163,6 +152,7 @@ class Index:
             words += sentence.split(" ")
             last[item] = n
         self.marks = {item: [w != "\x01" and w not in common for w in words] for item, words in self.items.items()}
+        self.marked = {item: [0, *itertools.accumulate(int(m) for m in marks)] for item, marks in self.marks.items()}
         for item, words in self.items.items():
             for k in range(len(words) - GRAM + 1):
                 gram = words[k : k + GRAM]
@@ -180,64 +170,93 @@ class Index:
                     hits[item].append((j, k))
         out = []
         for item, places in hits.items():
-            # runs of neighbouring hits on one diagonal
-            ends: dict[tuple[int, int], int] = {}
-            longest, stretch = 0, (0, 0)
-            for j, k in places:
-                length = ends.pop((j - 1, k - 1), GRAM - 1) + 1
-                ends[j, k] = length
-                if length > longest:
-                    longest, stretch = length, (j + GRAM - length, j + GRAM - 1)
-            words = self.items[item]
-            if longest >= least:
-                # unchanged; where more belongs to it the alignment below would only lengthen it
-                first, last = min(j for j, _ in places), max(j for j, _ in places) + GRAM - 1
-                if longest >= 0.9 * (last - first + 1):
-                    out.append((item, longest, *stretch))
+            spans: list[list[int]] = []
+            for j, k, length in _runs(places):
+                # a run inside a passage that was found belongs to it
+                if spans and spans[-1][0] <= j and j + length - 1 <= spans[-1][1]:
                     continue
-            best = None
-            for window in _windows(sorted(places)):
-                found = self._verify(item, doc, window, least)
-                if found and best and found[0] <= best[2] + 30:
-                    best = (best[0] + found[2], best[1], max(best[2], found[1]))
-                elif found and (best is None or found[2] > best[0]):
-                    best = (found[2], found[0], found[1])
-            if best:
-                best = (item, best[0], best[1], best[2])
-            if best is None and longest >= least:
-                best = (item, longest, *stretch)
-            if best:
-                out.append(best)
+                found = self._passage(item, doc, j, k, length, least)
+                if found and spans and found[0] <= spans[-1][1] + 30:
+                    first, last, words = spans[-1]
+                    new = found[2] if found[0] > last else max(0, found[1] - last)
+                    spans[-1] = [min(first, found[0]), max(last, found[1]), words + new]
+                elif found:
+                    spans.append(list(found))
+            if spans:
+                first, last, words = max(spans, key=lambda x: x[2])
+                out.append((item, words, first, last))
         return out
 
-
-    def _verify(self, item: str, doc: list[str], window: list[tuple[int, int]], least: int) -> tuple[int, int, int] | None:
-        """First and last position and words of a passage around the hits of one window, along each of their diagonals."""
-        words, marks = self.items[item], self.marks[item]
-        low, high = max(0, window[0][0] - 20), min(len(doc), window[-1][0] + GRAM + 20)
-        best = None
-        # a passage keeps so many words of the item at least, whatever its length
-        needed = least - (least + 1) // 6
-        there = set(doc[low:high])
-        for shift, _ in Counter((j - k) // 8 for j, k in window).most_common():
-            a, b = max(0, low - 8 * shift - 40), min(len(words), high - 8 * shift + 40)
-            if sum(w in there for w in words[a:b]) < needed:
-                continue
-            found = passage(align(words[a:b], doc[low:high]), least, marks[a:b]) if b > a else None
-            if found and (best is None or found[0] > best[2]):
-                best = (low + found[1], low + found[2], found[0])
+    def _passage(self, item: str, doc: list[str], j: int, k: int, length: int, least: int) -> tuple[int, int, int] | None:
+        """First and last document position and item words of the longest passage around an unchanged run, None without one."""
+        words, known = self.items[item], self.marked[item]
+        marks = self.marks[item]
+        most = min(MOST_EDITS, (len(words) + 1) // 6)
+        room = len(words) + most
+        if length < least and not self._possible(item, doc[max(0, j - room) : j + length + room], k, length, least):
+            return None
+        right = reaches(words[k + length :], doc[j + length : j + length + room], most)
+        left = reaches(words[:k][::-1], doc[max(0, j - room) : j][::-1], most)
+        best = (j, j + length - 1, length) if length >= least else None
+        for e, a in enumerate(left):
+            for f, b in enumerate(right):
+                if a is None or b is None:
+                    continue
+                total = a[0] + length + b[0]
+                if total < least or (e + f) * 6 > total + 1 or (best and total <= best[2]):
+                    continue
+                own = known[k + length + b[0]] - known[k - a[0]]
+                lost = sum(marks[k - 1 - p] for p in a[2]) + sum(marks[k + length + p] for p in b[2])
+                if not own or (own - lost) * 2 > own:
+                    best = (j - a[1], j + length + b[1] - 1, total)
         return best
 
 
-def _windows(places: list[tuple[int, int]], width: int = 150) -> list[list[tuple[int, int]]]:
-    """Hits in stretches without gaps of 40 words, cut at ``width`` words."""
-    out = [[places[0]]]
-    for p in places[1:]:
-        if p[0] - out[-1][-1][0] > 40 or p[0] - out[-1][0][0] > width:
-            out.append([p])
-        else:
-            out[-1].append(p)
-    return out
+    def _possible(self, item: str, window: list[str], k: int, length: int, least: int) -> bool:
+        """Whether a passage around a run can hold enough words, and words that set the item apart: cheap and never wrong when it says no."""
+        words, marks = self.items[item], self.marks[item]
+        needed = least - (least + 1) // 6
+        there = set(window)
+        if sum(w in there for w in words) < needed:
+            return False
+        if not any(m and w in there for w, m in zip(words, marks, strict=True)):
+            # then the passage has no such word at all: the run lies in a stretch of ``least`` words without any
+            first, last = k, k + length
+            while first and not marks[first - 1]:
+                first -= 1
+            while last < len(words) and not marks[last]:
+                last += 1
+            if last - first < least or any(marks[k : k + length]):
+                return False
+        return common_in_order(words, window) >= needed
+
+
+def common_in_order(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, by bits of one integer."""
+    masks: dict[str, int] = {}
+    for k, w in enumerate(a):
+        masks[w] = masks.get(w, 0) | 1 << k
+    full = left = (1 << len(a)) - 1
+    for w in b:
+        m = masks.get(w)
+        if m:
+            u = left & m
+            left = ((left + u) | (left - u)) & full
+    return len(a) - left.bit_count()
+
+
+def _runs(places: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Unchanged runs as (document position, item position, words), from the n-grams that agree; in order of the document."""
+    runs: dict[tuple[int, int], list[int]] = {}
+    out = []
+    for j, k in places:
+        run = runs.pop((j - 1, k - 1), None)
+        if run is None:
+            run = [j, k, GRAM - 1]
+            out.append(run)
+        run[2] += 1
+        runs[j, k] = run
+    return [tuple(r) for r in out]
 
 
 FOUND = "doc_id string, item_id string, n_words int, first_char int, last_char int"

@@ -128,3 +128,22 @@ def test_every_passage_within_the_definition_is_found():
         doc = rng.choices(WORDS, k=30) + part + rng.choices(WORDS, k=30)
         index = Index([("i", 0, " ".join(item))], frozenset())
         assert [f[0] for f in index.scan(doc, 14)] == ["i"], (n, edits)
+
+
+def test_reaches_equal_brute_force():
+    """Furthest item words within so many edits, the last words equal, against full dynamic programming."""
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = (rng.choices("pqr", k=rng.randint(0, 9)) for _ in range(2))
+        cost = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                cost[i][j] = min(cost[i - 1][j - 1] + (x != y), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+        got = leakage.reaches(a, b, 4)
+        for e, found in enumerate(got):
+            ends = [i for i in range(1, len(a) + 1) for j in range(1, len(b) + 1) if a[i - 1] == b[j - 1] and cost[i][j] <= e]
+            assert (found[0] if found else 0) <= max(ends, default=0)
+            # with all smaller numbers of edits nothing is missed
+            assert max((f[0] for f in got[: e + 1] if f), default=0) == max(ends, default=0)
+            if found:
+                assert cost[found[0]][found[1]] <= e
