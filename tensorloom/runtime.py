@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _local_roots: dict[str, str] = {}
+_marked: set[str] = set()
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -47,7 +48,15 @@ def work_root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if shared:
-        return f"{shared.rstrip('/')}/tensorloom-{app}"
+        root = f"{shared.rstrip('/')}/tensorloom-{app}"
+        if app not in _marked:
+            # removed with the session's process; other applications have folders of their own
+            _marked.add(app)
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            fs.mkdirs(path)
+            fs.deleteOnExit(path)
+        return root
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
