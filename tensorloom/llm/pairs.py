@@ -38,64 +38,79 @@ _DANGLING = frozenset(
     "y el los las una del al con para que en por porque de het een van met voor".split()
 )
 _TRANSLATION = re.compile(r"translat|übersetz|uebersetz|tradui|traduc|traduz|vertaal|vertal|przetłumacz|tłumacz|перевед|перевод", re.I)
-_REFUSALS = re.compile(
-    "|".join(
-        (
-            # English
-            r"\bi (?:really )?(?:must|have to|need to|will) (?:respectfully )?(?:decline|refuse)\b",
-            r"\bi(?: am|'m) (?:sorry,? but i(?: am|'m) )?(?:not able|unable|not allowed|not permitted|not authori[sz]ed|not in a position)\b",
-            r"\bi (?:cannot|can't|can not|could not|couldn't|won't|will not|am not going to|do not|don't) (?:be able to )?(?:assist|help|answer|provide|describe|view|identify|comply|discuss|share|fulfil+|process|continue|respond|do that|do this|talk|tell you|read this|see (?:the |this |any )?(?:image|picture|screen|attach))",
-            r"\bi won't be able\b",
-            r"\bmy (?:guidelines|rules|polic(?:y|ies)|instructions|programming) (?:keep|prevent|forbid|prohibit|do not|don't|does not|doesn't|stop)",
-            r"\b(?:against|violates?) my (?:rules|guidelines|polic)",
-            r"\bno answer can be given\b",
-            r"\b(?:something|that|what) i(?: am|'m) not (?:allowed|permitted|able)",
-            r"\boutside (?:of )?what i (?:may|can|am allowed)",
-            r"\bi have no (?:way|means|ability) (?:to|of) (?:see|view|read|access|open|look)",
-            r"\bi will leave (?:it|this|that) unanswered",
-            r"\bas an ai(?: language)?(?: model| assistant)?\b.{0,60}\b(?:cannot|can't|unable|not able|not allowed|decline|no way)",
-            r"\bi(?:'d| would) (?:rather|prefer) not\b|\bi prefer not to\b|\bi (?:refuse|decline) to\b",
-            r"\b(?:that|this|it)(?:'s| is) not something i(?: can|'m able| am able|'m going| am going| will)\b",
-            r"\bi(?:'m| am) afraid (?:that )?i (?:can't|cannot|won't|am unable|am not)\b",
-            r"^(?:sorry[,.]? )?(?:unable|not able) to (?:help|assist|answer|comply|provide|describe)\b",
-            r"\b(?:cannot|can't|won't|unable to) (?:fulfil+|honou?r|satisfy|process) (?:this|that|your) request",
-            r"\bi(?:'ll| will)? have to (?:pass|decline)\b",
-            # German
-            r"\bich (?:möchte|will|werde) (?:\w+ ){0,4}(?:lieber )?(?:nicht|nichts)(?: \w+){0,2} (?:sagen|antworten|beantworten|verraten|preisgeben|helfen)\b|\bich (?:lehne|weigere)\b|\b(?:möchte|will|werde) ich (?:\w+ ){0,4}(?:nicht|nichts) (?:sagen|antworten|beantworten)\b",
-            r"\bich bin (?:leider )?nicht (?:in der lage|befugt|berechtigt|imstande)",
-            r"\bich (?:kann|darf|werde|möchte) (?:\w+ ){0,6}(?:nicht|keine|kein)(?: \w+){0,3} (?:helfen|beantworten|beschreiben|ansehen|geben|antworten|weiterhelfen|sagen|mitteilen|sehen|tun)\b",
-            r"\b(?:kann|darf) ich (?:\w+ ){0,5}(?:nicht|keine|kein)\b",
-            # French
-            r"\bje ne (?:suis|peux|puis|dois) (?:malheureusement )?pas (?:en mesure|autorisée?|capable|répondre|aider|vous aider|décrire|voir|fournir|donner|traiter|identifier|dire)",
-            r"\bje ne (?:peux|puis) (?:pas|rien)\b",
-            r"\bil m'est impossible\b",
-            # Spanish
-            r"\bno (?:puedo|podré|debo) (?:\w+ ){0,2}?(?:ayudar|responder|describir|ver|dar|contestar|proporcionar|identificar|decir)",
-            r"\bno (?:tengo permiso|estoy autorizad[oa]|soy capaz|me es posible|me está permitido)",
-            # Dutch
-            r"\bik (?:kan|mag|wil|zal) (?:\w+ ){0,6}(?:niet|geen|niks)(?: \w+){0,3} (?:helpen|beantwoorden|beschrijven|bekijken|geven|zien|zeggen|antwoorden)\b",
-            r"\bik ben (?:helaas )?niet (?:in staat|bevoegd|gemachtigd)",
-            r"\b(?:dat|daar|dit|hier)(?:op)? (?:antwoord|beantwoord|help|zeg) ik (?:\w+ )?(?:niet|niets)\b|\bik (?:weiger|zeg liever niets|geef liever geen)\b",
-            r"\bje (?:préfère|préférerais) ne (?:pas|rien)\b|\bje (?:refuse|me refuse)\b|\bje ne (?:souhaite|veux|vais) pas (?:répondre|vous aider|aider|dire)\b",
-            r"\b(?:prefiero|preferiría) no (?:responder|contestar|decir|hablar)\b|\bme niego a\b|\bno (?:voy|vamos) a (?:responder|contestar|ayudar|poder)\b",
-            # Italian
-            r"\bnon (?:posso|potrò|sono in grado|sono autorizzat[oa]|mi è (?:possibile|permesso|consentito))\b(?: \w+){0,3}? (?:aiutar|risponder|fornir|descriver|di |dir)|\bpreferisco non\b|\bmi rifiuto\b",
-            # Portuguese, Polish, Russian
-            r"\bnão (?:vou|irei|quero|poderei) (?:\w+ ){0,2}?(?:ajudar|responder|dizer|descrever|fornecer)\b|\b(?:prefiro|preferia) não (?:responder|dizer|comentar)\b|\brecuso(?:-me)?\b",
-            r"\bodmawiam\b|\bwolę nie (?:odpowiadać|mówić)|\bnie będę (?:odpowiadać|pomagać)",
-            r"\bотказываюсь\b|предпочитаю не |\bне буду (?:отвечать|помогать)|\bне (?:смогу|можем) (?:помочь|ответить)",
-            # Chinese, Japanese, Korean, Arabic, Turkish
-            r"(?:无法|不能|不便|没办法|無法|拒绝|拒絕)(?:为您|为你|向您|给您)?(?:直接)?(?:回答|提供|协助|協助|帮助|帮您|满足|处理|讨论|描述)",
-            r"(?:お答え|回答|お手伝い|ご案内|対応|提供|お応え|説明)(?:を|は|することは|することが)?(?:でき(?:ません|ない|かね)|致しかね|いたしかね|差し控え)",
-            r"(?:답변|도움|도와|제공|설명|대답)[^.]{0,12}수 없",
-            r"لا (?:أستطيع|يمكنني|أقدر)|\b(?:yardımcı olamam|cevap veremem|yanıtlayamam|yardım edemem)",
-            r"\bnão (?:posso|consigo|estou autorizad[oa]|sou capaz|tenho permissão|me é permitido)",
-            r"\bnie (?:mogę|jestem w stanie|wolno mi|potrafię)",
-            r"\bя не (?:могу|имею права|в состоянии|вправе)|\bмне (?:не разрешено|нельзя|запрещено)",
-        )
-    )
+_REFUSALS = (
+    # English
+    r"\bi (?:really )?(?:must|have to|need to|will) (?:respectfully )?(?:decline|refuse)\b",
+    r"\bi(?: am|'m) (?:sorry,? but i(?: am|'m) )?(?:not able|unable|not allowed|not permitted|not authori[sz]ed|not in a position)\b",
+    r"\bi (?:cannot|can't|can not|could not|couldn't|won't|will not|am not going to|do not|don't) (?:be able to )?(?:assist|help|answer|provide|describe|view|identify|comply|discuss|share|fulfil+|process|continue|respond|do that|do this|talk|tell you|read this|see (?:the |this |any )?(?:image|picture|screen|attach))",
+    r"\bi won't be able\b",
+    r"\bmy (?:guidelines|rules|polic(?:y|ies)|instructions|programming) (?:keep|prevent|forbid|prohibit|do not|don't|does not|doesn't|stop)",
+    r"\b(?:against|violates?) my (?:rules|guidelines|polic)",
+    r"\bno answer can be given\b",
+    r"\b(?:something|that|what) i(?: am|'m) not (?:allowed|permitted|able)",
+    r"\boutside (?:of )?what i (?:may|can|am allowed)",
+    r"\bi have no (?:way|means|ability) (?:to|of) (?:see|view|read|access|open|look)",
+    r"\bi will leave (?:it|this|that) unanswered",
+    r"\bas an ai(?: language)?(?: model| assistant)?\b.{0,60}\b(?:cannot|can't|unable|not able|not allowed|decline|no way)",
+    r"\bi(?:'d| would) (?:rather|prefer) not\b|\bi prefer not to\b|\bi (?:refuse|decline) to\b",
+    r"\b(?:that|this|it)(?:'s| is) not something i(?: can|'m able| am able|'m going| am going| will)\b",
+    r"\bi(?:'m| am) afraid (?:that )?i (?:can't|cannot|won't|am unable|am not)\b",
+    r"^(?:sorry[,.]? )?(?:unable|not able) to (?:help|assist|answer|comply|provide|describe)\b",
+    r"\b(?:cannot|can't|won't|unable to) (?:fulfil+|honou?r|satisfy|process) (?:this|that|your) request",
+    r"\bi(?:'ll| will)? have to (?:pass|decline)\b",
+    # German
+    r"\bich (?:möchte|will|werde) (?:\w+ ){0,4}(?:lieber )?(?:nicht|nichts)(?: \w+){0,2} (?:sagen|antworten|beantworten|verraten|preisgeben|helfen)\b|\bich (?:lehne|weigere)\b|\b(?:möchte|will|werde) ich (?:\w+ ){0,4}(?:nicht|nichts) (?:sagen|antworten|beantworten)\b",
+    r"\bich bin (?:leider )?nicht (?:in der lage|befugt|berechtigt|imstande)",
+    r"\bich (?:kann|darf|werde|möchte) (?:\w+ ){0,6}(?:nicht|keine|kein)(?: \w+){0,3} (?:helfen|beantworten|beschreiben|ansehen|geben|antworten|weiterhelfen|sagen|mitteilen|sehen|tun)\b",
+    r"\b(?:kann|darf) ich (?:\w+ ){0,5}(?:nicht|keine|kein)\b",
+    # French
+    r"\bje ne (?:suis|peux|puis|dois) (?:malheureusement )?pas (?:en mesure|autorisée?|capable|répondre|aider|vous aider|décrire|voir|fournir|donner|traiter|identifier|dire)",
+    r"\bje ne (?:peux|puis) (?:pas|rien)\b",
+    r"\bil m'est impossible\b",
+    # Spanish
+    r"\bno (?:puedo|podré|debo) (?:\w+ ){0,2}?(?:ayudar|responder|describir|ver|dar|contestar|proporcionar|identificar|decir)",
+    r"\bno (?:tengo permiso|estoy autorizad[oa]|soy capaz|me es posible|me está permitido)",
+    # Dutch
+    r"\bik (?:kan|mag|wil|zal) (?:\w+ ){0,6}(?:niet|geen|niks)(?: \w+){0,3} (?:helpen|beantwoorden|beschrijven|bekijken|geven|zien|zeggen|antwoorden)\b",
+    r"\bik ben (?:helaas )?niet (?:in staat|bevoegd|gemachtigd)",
+    r"\b(?:dat|daar|dit|hier)(?:op)? (?:antwoord|beantwoord|help|zeg) ik (?:\w+ )?(?:niet|niets)\b|\bik (?:weiger|zeg liever niets|geef liever geen)\b",
+    r"\bje (?:préfère|préférerais) ne (?:pas|rien)\b|\bje (?:refuse|me refuse)\b|\bje ne (?:souhaite|veux|vais) pas (?:répondre|vous aider|aider|dire)\b",
+    r"\b(?:prefiero|preferiría) no (?:responder|contestar|decir|hablar)\b|\bme niego a\b|\bno (?:voy|vamos) a (?:responder|contestar|ayudar|poder)\b",
+    # Italian
+    r"\bnon (?:posso|potrò|sono in grado|sono autorizzat[oa]|mi è (?:possibile|permesso|consentito))\b(?: \w+){0,3}? (?:aiutar|risponder|fornir|descriver|di |dir)|\bpreferisco non\b|\bmi rifiuto\b",
+    # Portuguese, Polish, Russian
+    r"\bnão (?:vou|irei|quero|poderei) (?:\w+ ){0,2}?(?:ajudar|responder|dizer|descrever|fornecer)\b|\b(?:prefiro|preferia) não (?:responder|dizer|comentar)\b|\brecuso(?:-me)?\b",
+    r"\bodmawiam\b|\bwolę nie (?:odpowiadać|mówić)|\bnie będę (?:odpowiadać|pomagać)",
+    r"\bотказываюсь\b|предпочитаю не |\bне буду (?:отвечать|помогать)|\bне (?:смогу|можем) (?:помочь|ответить)",
+    # Chinese, Japanese, Korean, Arabic, Turkish
+    r"(?:无法|不能|不便|没办法|無法|拒绝|拒絕)(?:为您|为你|向您|给您)?(?:直接)?(?:回答|提供|协助|協助|帮助|帮您|满足|处理|讨论|描述)",
+    r"(?:お答え|回答|お手伝い|ご案内|対応|提供|お応え|説明)(?:を|は|することは|することが)?(?:でき(?:ません|ない|かね)|致しかね|いたしかね|差し控え)",
+    r"(?:답변|도움|도와|제공|설명|대답)[^.]{0,12}수 없",
+    r"لا (?:أستطيع|يمكنني|أقدر)|\b(?:yardımcı olamam|cevap veremem|yanıtlayamam|yardım edemem)",
+    r"\bnão (?:posso|consigo|estou autorizad[oa]|sou capaz|tenho permissão|me é permitido)",
+    r"\bnie (?:mogę|jestem w stanie|wolno mi|potrafię)",
+    r"\bя не (?:могу|имею права|в состоянии|вправе)|\bмне (?:не разрешено|нельзя|запрещено)",
 )
 
+
+def _alternatives(pattern: str) -> list[str]:
+    """The pattern cut at the bars outside of brackets."""
+    out, depth, begin = [], 0, 0
+    for k, ch in enumerate(pattern):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and not depth:
+            out.append(pattern[begin:k])
+            begin = k + 1
+    return [*out, pattern[begin:]]
+
+
+_EACH = [a for p in _REFUSALS for a in _alternatives(p)]
+# one word boundary before all of them, so that the search only stops where words begin; those that begin with
+# other than Latin letters only for texts that have such
+_BEGUN = "|".join(a.removeprefix(r"\b") for a in _EACH if a.startswith(r"\b"))
+_REFUSES = re.compile(rf"\b(?:{_BEGUN})|" + "|".join(a for a in _EACH if a.startswith("^")))
+_REFUSES_OTHER = re.compile("|".join(a for a in _EACH if not a.startswith((r"\b", "^"))))
+
 _ENDS = re.compile(r"[.!?…。！？؟][\"'”’»)\]}*_]*$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’\-][^\W\d_]+)*|[^\w\s]")
@@ -156,7 +171,8 @@ def is_copy(question: str | None, answer: str) -> bool:
 def is_refusal(answer: str) -> bool:
     """The answer declines; words quoted from the screen do not count."""
     said = unquoted(clean(answer).replace("’", "'").replace("‘", "'")).lower()
-    return bool(_REFUSALS.search(" ".join(said.split())))
+    said = " ".join(said.split())
+    return bool(_REFUSES.search(said)) or (not said.isascii() and bool(_REFUSES_OTHER.search(said)))
 
 
 def is_other_script(asked: str, said: str) -> bool:
