@@ -109,15 +109,26 @@ def brute(val, train):
         for w in set(f.split()):
             count[w] = count.get(w, 0) + 1
     fine = lambda a, b, typo: typo and min(count[a], count[b]) <= max(2, max(count[a], count[b]) / 20)
-    want = []
+    met = []
     for v in val:
         for t in train:
             a, b = form[v[0]], form[t[0]]
             if [w for w in a.split() if w[0].isdigit()] == [w for w in b.split() if w[0].isdigit()] and distance(a, b) <= distance_bound(len(a)):
                 changes = explain(a.split(), b.split(), names[v[0]] | names[t[0]])
-                if changes is not None and all(fine(*c) for c in changes):
-                    want.append((v[0], t[0]))
-    return sorted(want)
+                if changes is not None:
+                    met.append((v[0], t[0], changes))
+    # words that stand for each other in pairs with no other change
+    shown, total = {}, {}
+    for v, _, changes in met:
+        if len(changes) == 1 and not fine(*changes[0]):
+            shown.setdefault(frozenset(changes[0][:2]), set()).add(form[v])
+    for pair, seen in shown.items():
+        for w in pair:
+            total[w] = total.get(w, 0) + len(seen)
+    alike = {pair for pair, seen in shown.items() if len(seen) >= overlap.LEAST_EVIDENCE and len(seen) >= overlap.MOSTLY * max(total[w] for w in pair) and not pair & overlap._FACTS}
+    stands = lambda a, b: any(w == b and overlap._close(a, o) is not None for pair in alike for w in pair for o in pair - {w}) and min(count[a], count[b]) <= 2
+    good = lambda a, b, typo: fine(a, b, typo) or frozenset((a, b)) in alike or stands(a, b) or stands(b, a)
+    return sorted((v, t) for v, t, changes in met if all(good(*c) for c in changes))
 
 
 def mistyped(rng, t, n):
